@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import stash
+from riskloom.llm.common import broadcast_if_small, stash
 
 #: Misra-Gries counters are 1/SUPPORT: every digest on more than this share of the rows is found.
 SUPPORT = 1 / 2000
@@ -70,5 +70,5 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", supp
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of docs that stay, with all their columns. Ids must be unique."""
-    stay = decide(docs, id_col, text_col, support).filter("kept").select(F.col(id_col).alias("__stay"))
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
+    gone = stash(decide(docs, id_col, text_col, support).filter(~F.col("kept")).select(F.col(id_col).alias("__gone")), "gone")
+    return docs.join(broadcast_if_small(gone, gone.count(), 16), F.col(id_col) == F.col("__gone"), "left_anti")

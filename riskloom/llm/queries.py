@@ -29,6 +29,19 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.toxicity import CATEGORIES, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels"), CATEGORIES))
+
+
+def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.vector_graph import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.sharding import shards
 
@@ -41,6 +54,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.part_enum import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.token_counts import section_counts
 
