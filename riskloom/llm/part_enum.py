@@ -13,10 +13,12 @@ The most frequent shingles, found by Misra-Gries counts over all texts, are left
 partitions: taking the same members away from both sets never makes them differ more. So a
 passage that a third of all texts share makes no signature. Any such set keeps the join exact.
 
-Sets stand for their texts by a 64-bit fingerprint, so copies are never expanded. Sets that share
-a signature are linked in stars, verified on their members, and joined to components; then sets
-of different components that share a signature are verified one by one, so no link that joins two
-components is lost, and no pairs are made within a group that is joined already.
+Sets stand for their texts by a 64-bit fingerprint, so copies are never expanded. Up to SMALL sets
+that share a signature give all their pairs; of more, the smallest is paired with each other one.
+Pairs that byte-sized sketches rule out go; the others are verified on their members, first each set
+with its smallest partner, then pairs that this has not joined. Where more than SMALL sets share a
+signature, those of different components are then held against each other in the same way. So
+no link that joins two components is lost, and no pairs are made within a group that is joined.
 
 Defined results: a text without words (null, empty, blank) has the empty set, component_id is
 its own id; equal sets are linked; a null id never names a component unless no other id can; rows
@@ -50,6 +52,8 @@ GATHERED, PER_TASK = 4_000_000, 1_000_000
 PAIRS = 2_000_000
 #: Bits of the filter that picks candidate texts, at most.
 FILTER_BITS = 1 << 28
+#: Cells of a sketch; sets with a signature in common up to which all pairs are looked at, at once.
+CELLS, SMALL = 128, 32
 #: Bytes of text that are read at a time.
 BATCH = 4_000_000
 #: Sets verified against one set in one task.
@@ -143,8 +147,27 @@ class _Frequent:
         self.keys, self.counts = keys, counts
 
 
+SURVEY = ["kind", "id", "n", "value", "sketch"]
+
+
+def sketches(sets: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """How many members each set has in each of CELLS parts of the domain, a byte each; 255 and more are 255."""
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    cell = (mix(sets + _PLACES[56]) % U(CELLS)).astype(np.int64)
+    counts = np.minimum(np.bincount(owner * CELLS + cell, minlength=n * CELLS), 255).astype(np.uint8)
+    return pa.array([counts[i : i + CELLS].tobytes() for i in range(0, n * CELLS, CELLS)], pa.binary())
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """By sketches (rows of x and y), which pairs of sets can reach the threshold: sets share no more than cell by cell."""
+    both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    total = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
+    return (threshold.denominator * both >= threshold.numerator * (total - both)) | (x.max(axis=1) == 255) | (y.max(axis=1) == 255)
+
+
 def survey(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """kind 0: id, n (size of its set), value (its fingerprint); kind 1: value (a shingle), n (its count in a task)."""
+    """kind 0: id, n (size of its set), value (its fingerprint), sketch; kind 1: value (a shingle), n (its count in a task)."""
 
     def run(batches):
         frequent, seen = _Frequent(), 0
@@ -153,16 +176,16 @@ def survey(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             frequent.add(sets)
             seen += batch.num_rows
             prints = fingerprints(sets, bounds).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(np.diff(bounds)), pa.array(prints)], ["kind", "id", "n", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(np.diff(bounds)), pa.array(prints), sketches(sets, bounds)], SURVEY)
         often = frequent.counts >= max(2, seen // 1000)
         keys = frequent.keys[often].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.nulls(len(keys), pa.int64()), pa.array(frequent.counts[often]), pa.array(keys)], ["kind", "id", "n", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.nulls(len(keys), pa.int64()), pa.array(frequent.counts[often]), pa.array(keys), pa.nulls(len(keys), pa.binary())], SURVEY)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "kind int, id long, n long, value long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "kind int, id long, n long, value long, sketch binary")
 
 
 class _Gatherer:
-    """Gathers signatures with their sets' ids and components; hands on one row per bucket."""
+    """Gathers signatures with their sets' ids; hands on one row per bucket."""
 
     def __init__(self, buckets: int):
         self.buckets = buckets
@@ -171,14 +194,14 @@ class _Gatherer:
     def clear(self):
         self.parts, self.count, self.sets = [], 0, 0
 
-    def add(self, found: np.ndarray, owner: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
-        self.parts.append((found, owner + self.sets, ids, labels))
+    def add(self, found: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> None:
+        self.parts.append((found, owner + self.sets, ids))
         self.count += len(found)
         self.sets += len(ids)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.count:
-            found, owner, ids, labels = (np.concatenate([p[k] for p in self.parts]) for k in range(4))
+            found, owner, ids = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
             order = np.argsort(found)
             found, owner = found[order], owner[order]
             bucket = (((found >> U(32)) * U(self.buckets)) >> U(32)).astype(np.int64)
@@ -191,13 +214,12 @@ class _Gatherer:
                     (low & U(0xFFFFFFFF)).astype("<u4").tobytes() + ((low >> U(32)) & U(0xFF)).astype("u1").tobytes(),
                     at.astype("<u4" if len(sets) > 65535 else "<u2").tobytes(),
                     ids[sets].tobytes(),
-                    labels[sets].tobytes() if labels is not ids and not np.array_equal(labels[sets], ids[sets]) else b"",
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["bucket", "found", "owner", "ids", "labels"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["bucket", "found", "owner", "ids"])
         self.clear()
 
 
-GATHERED_SCHEMA = "bucket int, found binary, owner binary, ids binary, labels binary"
+GATHERED_SCHEMA = "bucket int, found binary, owner binary, ids binary"
 
 
 def gather(docs: DataFrame, id_col: str, text_col: str, size: int, bands: Bands, left_out: np.ndarray, buckets: int) -> DataFrame:
@@ -216,7 +238,7 @@ def gather(docs: DataFrame, id_col: str, text_col: str, size: int, bands: Bands,
             kept = np.repeat(fresh, np.diff(bounds))
             sets, bounds = sets[kept], np.concatenate([[0], np.cumsum(np.diff(bounds)[fresh])])
             ids = prints[fresh]
-            gathered.add(*signatures(sets, bounds, bands, left_out), ids, ids)
+            gathered.add(*signatures(sets, bounds, bands, left_out), ids)
             if gathered.count >= GATHERED:
                 yield from gathered.flush()
         yield from gathered.flush()
@@ -224,81 +246,125 @@ def gather(docs: DataFrame, id_col: str, text_col: str, size: int, bands: Bands,
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, GATHERED_SCHEMA)
 
 
-def regather(sets: DataFrame, bands: Bands, left_out: np.ndarray, buckets: int) -> DataFrame:
-    """The same from stored sets (node, members, label)."""
+def shared(rows: DataFrame, buckets: int) -> DataFrame:
+    """Pairs a < b of sets that share a signature, and the sets of signatures that more than SMALL have.
 
-    def run(batches):
-        gathered = _Gatherer(buckets)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                own = [np.frombuffer(m.as_buffer(), U) for m in part.column(1)]
-                bounds = np.concatenate([[0], np.cumsum([len(o) for o in own])])
-                ids, labels = (part.column(c).to_numpy() for c in (0, 2))
-                gathered.add(*signatures(np.concatenate(own), bounds, bands, left_out), ids, labels)
-                if gathered.count >= GATHERED:
-                    yield from gathered.flush()
-        yield from gathered.flush()
-
-    return sets.select("node", "members", "label").mapInArrow(run, GATHERED_SCHEMA)
-
-
-def shared(rows: DataFrame, buckets: int, across: bool) -> DataFrame:
-    """Pairs a < b of sets that share a signature.
-
-    In stars, each set with the smallest id among those with the signature; or, across, all
-    pairs whose sets have different labels.
+    Up to SMALL sets give all their pairs. More give those of the smallest id with each other one,
+    and their list (a null, b its number, members).
     """
 
     def run(batches):
-        found, ids, labels = [], [], []
+        found, ids = [], []
         for batch in batches:
-            for bucket, raw, owner, own, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, raw, owner, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n, own = len(raw) // 5, np.frombuffer(own, np.int64)
-                at = np.frombuffer(owner, "<u4" if len(owner) == 4 * n and len(own) > 65535 else "<u2").astype(np.int64)
+                at = np.frombuffer(owner, "<u4" if len(own) > 65535 else "<u2").astype(np.int64)
                 found.append(np.frombuffer(raw, "<u4", n).astype(U) | (np.frombuffer(raw, "u1", n, 4 * n).astype(U) << U(32)) | (U(bucket) << U(40)))
                 ids.append(own[at])
-                labels.append((np.frombuffer(label, np.int64) if label else own)[at] if across else ids[-1])
         if not found:
             return
         key = np.concatenate(found)
         order = np.argsort(key, kind="stable")
-        key, node, label = key[order], np.concatenate(ids)[order], np.concatenate(labels)[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(first, len(key)))
-        low, high = (np.repeat(f.reduceat(label, first), size) for f in (np.minimum, np.maximum))
-        live = low != high  # at least two sets, or two components
-        key, node, label = key[live], node[live], label[live]
+        key, node = key[order], np.concatenate(ids)[order]
+        same = key[1:] == key[:-1]
+        live = np.append(same, False) | np.append(False, same)
+        key, node = key[live], node[live]
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]  # copies of one set in several tasks
+        key, node = key[fresh], node[fresh]
         if not len(key):
             return
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(first, len(key)))
-        if not across:
-            middle = np.repeat(np.minimum.reduceat(node, first), size)
-            pairs = np.unique(np.stack([middle, node], 1)[node != middle], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-            return
-        # within a signature in order of labels, each set meets those with smaller labels
-        order = np.lexsort((label, key))
-        key, node, label = key[order], node[order], label[order]
-        opens = np.append(True, key[1:] != key[:-1])
-        turns = opens | np.append(True, label[1:] != label[:-1])
-        place = np.arange(len(key))
-        begin = np.maximum.accumulate(np.where(opens, place, 0))
-        meets = np.maximum.accumulate(np.where(turns, place, 0)) - begin
-        pairs, at = np.zeros((0, 2), np.int64), 0
-        ends = np.cumsum(meets)
-        while at < len(key):
-            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-            n = meets[at:upto]
-            x = np.repeat(node[at:upto], n)
-            y = node[np.repeat(begin[at:upto] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-            pairs = np.unique(np.concatenate([pairs, np.stack([np.minimum(x, y), np.maximum(x, y)], 1)]), axis=0)
-            at = upto
+        place = np.arange(len(key)) - np.repeat(first, size)
+        many = np.repeat(size > SMALL, size)
+        pairs = np.zeros((0, 2), np.int64)
+        stars = many & (place > 0)
+        held = [np.stack([node[np.repeat(first, size)[stars]], node[stars]], 1)]
+        for step in range(1, min(SMALL, int(size.max()))):
+            at = np.flatnonzero((place >= step) & ~many)
+            held.append(np.stack([node[at - step], node[at]], 1))
+            if sum(map(len, held)) > PAIRS:
+                pairs, held = np.unique(np.concatenate([pairs, *held]), axis=0), []
+        pairs = np.unique(np.concatenate([pairs, *held]), axis=0)
         for k in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[k : k + 100_000, c])) for c in (0, 1)], ["a", "b"])
+            part = [np.ascontiguousarray(pairs[k : k + 100_000, c]) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), pa.nulls(len(part[0]), pa.binary())], ["a", "b", "members"])
+        lists = {node[i : i + n].tobytes() for i, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True)}
+        for m in lists:
+            name = int(fingerprints(np.frombuffer(m, U), np.array([0, len(m) // 8])).view(np.int64)[0])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([name]), pa.array([m], pa.binary())], ["a", "b", "members"])
+
+    return rows.repartition(buckets, "bucket").mapInArrow(run, "a long, b long, members binary")
 
-    return rows.repartition(buckets, "bucket").mapInArrow(run, "a long, b long").distinct()
+
+def screened(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs that sketches don't rule out. nodes: node, sketch."""
+    rows = beside(pairs, nodes.withColumnRenamed("sketch", "members"))
+
+    def run(batches):
+        middle, name = np.zeros(CELLS, np.uint8), None
+        for batch in (b for b in batches if b.num_rows):
+            a, b = batch.column(0).to_numpy(), batch.column(2).fill_null(0).to_numpy()
+            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, CELLS)
+            head = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            at = np.maximum.accumulate(np.where(head, np.arange(len(a)), -1))
+            mine = np.where(at[:, None] >= 0, x[np.maximum(at, 0)], middle[None, :])
+            ok = ~head & may_be_similar(mine, x, threshold)
+            if at[-1] >= 0:
+                middle, name = x[at[-1]].copy(), a[at[-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def across(lists: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs of different components among the sets of each list, without those that sketches rule out."""
+    exploded = lists.mapInArrow(unfolded, "list long, node long")
+    known = exploded.join(labels, "node")
+    mixed = known.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("list")
+    rows = known.join(mixed, "list").join(nodes, "node").select("list", "label", "node", "sketch")
+    rows = rows.repartition("list").sortWithinPartitions("list", "label", "node")
+
+    def run(batches):
+        """Blocks of a list's rows against those before them, whose labels are smaller."""
+        held, name = [], None
+        for batch in (b for b in batches if b.num_rows):
+            lists_, labels_, nodes_ = (batch.column(c).to_numpy() for c in range(3))
+            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, CELLS)
+            cuts = np.flatnonzero(np.append(True, lists_[1:] != lists_[:-1]))
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(lists_)], strict=True):
+                if lists_[i] != name:
+                    held, name = [], lists_[i]
+                held.append((labels_[i:j], nodes_[i:j], x[i:j]))
+                old_l, old_n, old_x = (np.concatenate([h[c] for h in held]) for c in range(3))
+                for k in range(i, j):
+                    m = int(np.searchsorted(old_l, labels_[k]))
+                    ok = np.flatnonzero(may_be_similar(old_x[:m], x[k][None, :], threshold)) if m else []
+                    if len(ok):
+                        a, b = np.minimum(old_n[ok], nodes_[k]), np.maximum(old_n[ok], nodes_[k])
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def unfolded(batches):
+    for batch in batches:
+        for name, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(members.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name)), pa.array(own)], ["list", "node"])
+
+
+def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, chunk, b, members: for each a and each CHUNK or so of its partners its own members (b null), then theirs."""
+    per = pairs.groupBy("a").agg((F.floor((F.count("*") - 1) / CHUNK) + 1).cast("int").alias("chunks"))
+    dealt = pairs.join(per, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int"))
+    dealt = stash(dealt.select("a", "chunk", "b"), "dealt")
+    others = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "members")
+    middles = dealt.select("a", "chunk").distinct().join(sets.withColumnRenamed("node", "a"), "a")
+    rows = middles.select("a", "chunk", F.lit(None).cast("long").alias("b"), "members").unionByName(others)
+    return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
 
 def filter_bits(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -347,13 +413,7 @@ def pick_sets(docs: DataFrame, id_col: str, text_col: str, size: int, table: np.
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs whose sets are similar. A set is sent once for each CHUNK sets that it is held against."""
-    per = pairs.groupBy("a").agg((F.floor((F.count("*") - 1) / CHUNK) + 1).cast("int").alias("chunks"))
-    dealt = pairs.join(per, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int"))
-    dealt = stash(dealt.select("a", "chunk", "b"), "dealt")
-    others = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "members")
-    middles = dealt.select("a", "chunk").distinct().join(sets.withColumnRenamed("node", "a"), "a")
-    rows = middles.select("a", "chunk", F.lit(None).cast("long").alias("b"), "members").unionByName(others)
-    rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    rows = beside(pairs, sets)
 
     def run(batches):
         middle, name = np.zeros(0, U), None
@@ -385,31 +445,44 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id_col, n_shingles, component_id."""
     spark = docs.sparkSession
     found = stash(survey(docs, id_col, text_col, size), "survey")
-    rows = found.filter("kind = 0").select("id", F.col("n").alias("n_shingles"), F.col("value").alias("node"))
+    rows = found.filter("kind = 0").select("id", F.col("n").alias("n_shingles"), F.col("value").alias("node"), "sketch")
     total, largest = rows.agg(F.sum("n_shingles"), F.max("n_shingles")).first()
     often = found.filter("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     often = often.orderBy(F.desc("n"), "value").limit(LEFT_OUT).select("value").toPandas()["value"]
     left_out = np.sort(often.to_numpy(np.int64).view(U))
     bands = Bands.of(threshold, largest or 1)
     buckets = max(1, min(1 << 16, -(-(total or 0) // PER_TASK)))
-    stars = stash(shared(gather(docs, id_col, text_col, size, bands, left_out, buckets), buckets, False), "stars")
-    classes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("first_id"))
-    nodes = stash(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), "nodes")
-    firsts = stash(nodes.join(classes, "node").select(F.coalesce("first_id", F.lit(-1)).cast("long").alias("id")), "firsts")
-    count = firsts.count()
-    table = build_filter(firsts, count)
-    sets = stash(pick_sets(docs, id_col, text_col, size, table, min(FILTER_BITS, max(1024, 16 * count))), "sets")
-    # each set against its smallest partner, then what these links haven't joined
-    smallest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(smallest, sets, threshold)
-    labels = stash(labelled(nodes, links), "labels")
-    again = stars.join(smallest, ["a", "b"], "left_anti").join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
-    again = again.join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").filter("x <> y").select("a", "b")
-    links = links.unionByName(verified(again, sets, threshold))
-    labels = stash(labelled(nodes, links), "labels")
-    few = max(1, -(-count * (total or 0) // max(1, rows.count()) // PER_TASK))
-    rest = stash(shared(regather(sets.join(labels, "node"), bands, left_out, few), few, True).join(stars, ["a", "b"], "left_anti"), "rest")
-    links = stash(links.unionByName(verified(rest, sets, threshold)), "links")
+    met = stash(shared(gather(docs, id_col, text_col, size, bands, left_out, buckets), buckets), "met")
+    stars = stash(met.filter("members IS NULL").select("a", "b").distinct(), "stars")
+    lists = met.filter("members IS NOT NULL").select("b", "members").dropDuplicates(["b"])
+    classes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.min("sketch").alias("sketch"))
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    listed = lists.select("b", "members").mapInArrow(unfolded, "list long, node long").select("node")
+    nodes = stash(classes.join(ends(stars).union(listed).distinct(), "node"), "nodes")
+    plain = nodes.select("node", "sketch")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar; reads the texts of their sets alone."""
+        firsts = stash(nodes.join(ends(pairs), "node", "left_semi").select(F.coalesce("first_id", F.lit(-1)).cast("long").alias("id")), "firsts")
+        count = firsts.count()
+        if not count:
+            return spark.createDataFrame([], "a long, b long")
+        table = build_filter(firsts, count)
+        sets = stash(pick_sets(docs, id_col, text_col, size, table, min(FILTER_BITS, max(1024, 16 * count))), "sets")
+        # each set against its smallest partner, then what these links haven't joined
+        smallest = stash(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "smallest")
+        links = verified(smallest, sets, threshold)
+        labels = stash(labelled(ends(pairs), links), "labels")
+        again = pairs.join(smallest, ["a", "b"], "left_anti").join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
+        again = again.join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").filter("x <> y").select("a", "b")
+        return links.unionByName(verified(again, sets, threshold))
+
+    links = similar(stash(screened(stars, plain, threshold), "screened"))
+    if not lists.isEmpty():
+        labels = stash(labelled(plain.select("node"), links), "labels")
+        rest = across(lists.select("b", "members"), labels, plain, threshold).join(stars, ["a", "b"], "left_anti")
+        links = links.unionByName(similar(stash(rest, "rest")))
+    links = stash(links, "links")
     groups = components(links).select("node", "component")
     named = rows.filter("n_shingles > 0").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("least"))
