@@ -64,7 +64,8 @@ def test_section_counts(spark, documents):
         for i, t in rows:
             t = t or ""
             code = tokenizer.encode(t, add_special_tokens=False)
-            lines = t.splitlines(keepends=True) if False else [x + "\n" for x in t.split("\n")[:-1]] + ([t.split("\n")[-1]] if t.split("\n")[-1] or "\n" not in t else [])
+            *whole, last = t.split("\n")
+            lines = [x + "\n" for x in whole] + ([last] if last or not whole else [])
             ends, at = [], 0
             for line in lines:
                 at += len(line.encode())
