@@ -4,7 +4,7 @@ Pass 1 classifies each block of a page by its place in the page, its length, its
 its density of stop words: good, bad, or undecided (short, or long without stop words). Pass 2
 gives an undecided block the label of its nearest decided neighbour in the same region, a region
 being one article or the page outside of articles; blocks that are bad for their place alone
-(menus, adverts, comments, ...) are no neighbours.
+(menus, adverts, comments, ..., lists of links inside an article) are no neighbours.
 
 Defined results: null, empty and tagless html are handled alike (a tagless page is one block
 outside any article); unclosed and misnested tags close with their container; character
@@ -82,8 +82,11 @@ class _Page:
         self.text, self.linked = [], 0
 
     def opened(self, name: str, rest: str) -> None:
-        if name in ("p", "li", "td", "th", "tr"):  # their end tags may be left out
-            self.closed(name, "ul ol table article main div section".split())
+        if self.stack and self.stack[-1][0] == "p":  # any block ends a paragraph
+            self.stack.pop()
+            self.place()
+        if name in ("li", "td", "th", "tr"):  # their end tags may be left out
+            self.closed(name, ("ul", "ol", "table"))
         if name not in NESTED:
             return
         found = marks(rest)
@@ -164,7 +167,7 @@ def first_pass(found: list[tuple[str, int, int, bool]]) -> list[str]:
         if bad or has_main and not region:
             labels.append(PLACE)
         elif linked > LINKS * len(text):
-            labels.append(BAD)
+            labels.append(PLACE if region else BAD)
         elif len(text) < LONG:
             labels.append(OPEN)
         else:

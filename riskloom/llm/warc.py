@@ -151,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str =
             for page_id, url, payload, captured, refers_to in zip(*(c if k == 2 else c.to_pylist() for k, c in enumerate(batch.columns)), strict=True):
                 if out is None:
                     path, size, count = f"part-{TaskContext.get().partitionId():05d}-{len(done):03d}-{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = disk.open_output_stream(f"{base}/{path}")
+                    out = disk.open_output_stream(f"{base}/{path}", compression=None)  # records are compressed one by one
                 data = record(page_id, url, captured, payload.as_py().encode(), refers_to)
                 out.write(data)
                 size, count = size + len(data), count + 1
@@ -181,7 +181,7 @@ def read_runs(archives: DataFrame, folder: str) -> DataFrame:
             for archive in batch.column(0).to_pylist():
                 disk, place = file_system(archive)
                 rows = []
-                with disk.open_input_stream(place) as stream:
+                with disk.open_input_stream(place, compression=None) as stream:
                     for offset, content in members(stream):
                         r = parse(content)
                         rows.append((url_key(r["url"]), r["captured"], r["id"], r["type"], r["digest"], r["bytes"], r["refers_to"], archive, offset))
