@@ -47,7 +47,7 @@ SLACK = 0.35
 #: Misra-Gries counters of a task, and how many of the most frequent shingles on at least FREQUENT texts are left out.
 COUNTERS, LEFT_OUT, FREQUENT = 1 << 16, 1 << 17, 64
 #: Signatures that a task gathers before it hands them on, and that one reading task gets.
-GATHERED, PER_TASK = 4_000_000, 1_000_000
+GATHERED, PER_TASK = 1_000_000, 1_000_000
 #: Pairs that a task lists before it drops repeated ones.
 PAIRS = 2_000_000
 #: Bits of the filter that picks candidate texts, at most.
@@ -55,7 +55,7 @@ FILTER_BITS = 1 << 28
 #: Cells of a sketch; sets with a signature in common up to which all pairs are looked at, at once.
 CELLS, SMALL = 128, 32
 #: Bytes of text that are read at a time.
-BATCH = 4_000_000
+BATCH = 2_000_000
 #: Sets verified against one set in one task.
 CHUNK = 256
 
