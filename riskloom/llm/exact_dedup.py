@@ -25,13 +25,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]", "")
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def digests(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
     text = F.col(text_col)
     return docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.char_length(text), F.lit(0)).alias("n"),
         F.unhex(F.sha2(normalised(text), 256)).alias("digest"),
-        F.monotonically_increasing_id().alias("row"),
+        row.alias("row"),
     )
 
 
@@ -50,25 +50,31 @@ def heavy_winners(rows: DataFrame, support: float, total: int) -> DataFrame:
     return exact.filter(F.col("group_size") > F.lit(max(1.0, support * total)))
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """One row per input row: id_col, keep_id, group_size, kept, text_sha256."""
-    rows = stash(digests(docs, id_col, text_col), "digests")
+def decisions(digested: DataFrame, support: float) -> DataFrame:
+    """One row per digested row: row, id, keep_id, group_size, kept, digest."""
+    rows = stash(digested, "digests")
     heavy = stash(heavy_winners(rows, support, rows.count()), "winners")  # at most 1/support rows
     joined = rows.join(F.broadcast(heavy), "digest", "left")
     known = joined.filter(F.col("group_size").isNotNull())
     same = Window.partitionBy("digest")
     rest = rows.join(F.broadcast(heavy), "digest", "left_anti")
     rest = rest.withColumns({"group_size": F.count("*").over(same), "best": F.max(_rank()).over(same)})
-    return known.unionByName(rest).select(
-        F.col("id").alias(id_col),
-        F.col("best.id").alias("keep_id"),
-        "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    kept = (F.col("row") == F.col("best.row")).alias("kept")
+    return known.unionByName(rest).select("row", "id", F.col("best.id").alias("keep_id"), "group_size", kept, "digest")
+
+
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
+    """One row per input row: id_col, keep_id, group_size, kept, text_sha256."""
+    rows = decisions(digests(docs, id_col, text_col, F.monotonically_increasing_id()), support)
+    return rows.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Ids must be unique."""
-    gone = stash(decide(docs, id_col, text_col, support).filter(~F.col("kept")).select(F.col(id_col).alias("__gone")), "gone")
-    return docs.join(broadcast_if_small(gone, gone.count(), 16), F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of docs that stay, with all their columns: one of each digest, whatever ids repeat or are null.
+
+    Rows are written with their number first, so that the rows decided on are the rows filtered.
+    """
+    numbered = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows = decisions(digests(numbered, id_col, text_col, F.col("__row")), support)
+    gone = stash(rows.filter(~F.col("kept")).select(F.col("row").alias("__row")), "gone")
+    return numbered.join(broadcast_if_small(gone, gone.count(), 16), "__row", "left_anti").drop("__row")

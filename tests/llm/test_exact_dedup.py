@@ -45,3 +45,12 @@ def test_deduplicated_keeps_columns(spark, documents):
 def test_no_python_in_the_plan(spark, documents):
     plan = E.decide(documents([(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_deduplicated_repeated_rows_and_null_ids(spark, documents):
+    rows = [(5, "x y"), (5, "x y"), (1, "a"), (1, "a"), (7, "a"), (7, "a"), (None, "a"), (None, "b"), (None, "b"), (3, "b  "), (3, "c"), (None, None), (None, "")]
+    for support in (0.0005, 1.0):  # digests heavy, none
+        out = E.deduplicated(documents(rows), support=support)
+        assert out.columns == documents(rows).columns
+        got = sorted(((r.doc_id, r.text or "") for r in out.collect()), key=str)
+        assert got == sorted([(5, "x y"), (1, "a"), (3, "b  "), (3, "c"), (None, "")], key=str)

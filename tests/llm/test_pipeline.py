@@ -51,5 +51,11 @@ def test_empty_tables(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_copies_stage_with_repeated_rows_and_null_ids(spark, documents):
+    docs = documents([(5, "x y"), (5, "x y"), (9, "xy"), (None, "z"), (None, "z"), (4, "w"), (4, "v")])
+    got = sorted(((r.doc_id, r.text) for r in pipeline.without_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(5, "x y"), (None, "z"), (4, "w"), (4, "v")], key=str)
+
+
 def test_stage_order():
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "packing"]
