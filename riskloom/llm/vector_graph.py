@@ -9,8 +9,8 @@ verified by their cosine in double precision. Within a shard each pair of blocks
 and a pair of vectors counts in the first shard that they share, so counts add up without a list
 of all pairs; components get the links of a spanning forest of each task.
 
-Recall is audited against brute force on a bounded set of queries, in blocks; below the target
-the operator starts again with more shards for each vector.
+Recall, of queries and of links, is audited against brute force on a bounded set of queries, in blocks, after every attempt; below the target the operator starts again with more shards for each
+vector, and after the last such attempt it compares all pairs of vectors, block by block.
 
 Defined results: a vector that is null, of zero length, of zero norm, with null or non-finite
 components, or with another number of components than most has no links and is its own component;
@@ -20,6 +20,8 @@ id are vectors of their own for the counts; an empty table gives no rows.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +38,8 @@ BLOCK, DEGREE, ALPHA, CANDIDATES, BEAM = 8_192, 24, 1.2, 64, 24
 ENTRIES, STEP, FAR = 64, 8, 6
 #: Audited queries at most, and the recall that is asked for.
 AUDITED, RECALL = 2_048, 0.99
+#: From so many shards for each vector on, the next attempt is the exact one.
+SHARDS = 8
 SEED = 7
 
 
@@ -158,6 +162,17 @@ def search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, own: np.ndarra
     return np.concatenate([np.zeros(0, np.int64), *found_q]), np.concatenate([np.zeros(0, np.int64), *found_v])
 
 
+def compare(x: np.ndarray, queries: np.ndarray, own: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, vector) pairs that may have cosine >= low, as search gives them."""
+    found_q, found_v = [], []
+    for i in range(0, len(queries), 256):
+        a, b = np.nonzero(queries[i : i + 256] @ x.T >= low - 1e-9)
+        other = own[i : i + 256][a] != b
+        found_q.append(a[other] + i)
+        found_v.append(b[other])
+    return np.concatenate([np.zeros(0, np.int64), *found_q]), np.concatenate([np.zeros(0, np.int64), *found_v])
+
+
 def medoids(x: np.ndarray) -> np.ndarray:
     """The vector nearest to the mean of each of ENTRIES small clusters of the block."""
     k = max(1, min(ENTRIES, len(x) // 4))
@@ -207,14 +222,17 @@ def groups(batches):
 
 
 class Index:
-    """Points in shards and blocks, their united lists, and what searches find in them."""
+    """Points in shards and blocks, their united lists, and what searches find in them.
+
+    exact: all points are in one shard, and the blocks are compared instead of searched.
+    """
 
-    def __init__(self, reps: DataFrame, count: int, low: float, shards: int):
+    def __init__(self, reps: DataFrame, count: int, low: float, shards: int, exact: bool = False):
         spark = reps.sparkSession
         share = min(1.0, SAMPLE / max(1, count))
         sample = reps.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else reps
         sample = unit([bytes(r.vec) for r in sample.orderBy("id").limit(SAMPLE).select("vec").toLocalIterator()])
-        k = max(1, min(CENTROIDS, len(sample) // 8, -(-count // PER_CENTROID)))
+        k = 1 if exact else max(1, min(CENTROIDS, len(sample) // 8, -(-count // PER_CENTROID)))
         sent = spark.sparkContext.broadcast(fit_centroids(sample, k))  # at most CENTROIDS vectors
         near = min(shards, k)
 
@@ -230,7 +248,7 @@ class Index:
         placed = self.points.withColumn("shard", F.explode("shards")).withColumn("blocks", blocks[F.col("shard")])
         self.placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
         self.tasks = max(spread(spark), sum(-(-n // BLOCK) for n in sizes.values()))
-        self.low = low
+        self.low, self.exact, self.widest = low, exact, near == k
 
     def lists(self) -> DataFrame:
         """id, near (ids): the united adjacency lists."""
@@ -248,7 +266,7 @@ class Index:
 
     def found(self) -> DataFrame:
         """id, n_links (weighted, a part), other (null, or a link of the forest)."""
-        low = self.low
+        low, exact = self.low, self.exact
 
         def run(batches):
             x = names = weights = shards = lists = None
@@ -260,15 +278,18 @@ class Index:
                 if own:
                     names = np.array([r[1] for r in own], np.int64)
                     x, weights, shards = unit([r[2] for r in own]), np.array([r[3] for r in own], np.int64), [r[4] for r in own]
-                    lists = local_lists(names, [r[5] for r in own])
-                    yield report(x, names, weights, shards, x, names, weights, shards, *search(x, lists, x, np.arange(len(x)), low), shard, low, True)
+                    lists = None if exact else local_lists(names, [r[5] for r in own])
+                    me = np.arange(len(x))
+                    pairs = compare(x, x, me, low) if exact else search(x, lists, x, me, low)
+                    yield report(x, names, weights, shards, x, names, weights, shards, *pairs, shard, low, True)
                 others = [r for r in rows if r[0] == 1]
                 if others and x is not None:
                     q, qn = unit([r[2] for r in others]), np.array([r[1] for r in others], np.int64)
-                    pairs = search(x, lists, q, np.full(len(q), -1), low)
+                    me = np.full(len(q), -1)
+                    pairs = compare(x, q, me, low) if exact else search(x, lists, q, me, low)
                     yield report(x, names, weights, shards, q, qn, np.array([r[3] for r in others], np.int64), [r[4] for r in others], *pairs, shard, low, False)
 
-        placed = self.placed.join(self.lists(), "id", "left")
+        placed = self.placed.withColumn("near", F.lit(None).cast("array<long>")) if exact else self.placed.join(self.lists(), "id", "left")
         inside = placed.select("shard", "block", F.lit(0).alias("role"), "id", "vec", "weight", "shards", "near")
         across = placed.filter("block > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("block") - 1)))
         across = across.select("shard", "block", F.lit(1).alias("role"), "id", "vec", "weight", "shards", F.lit(None).cast("array<long>").alias("near"))
@@ -309,7 +330,7 @@ def report(x, names, weights, shards, q, q_names, q_weights, q_shards, at_q, at_
 
 
 def audit(reps: DataFrame, counts: DataFrame, low: float) -> float:
-    """Share of the true links of at most AUDITED queries, an even draw by hash, that were found."""
+    """Share of true links that were found for at most AUDITED queries, an even draw by hash: the lower of the mean over queries and the share of all."""
     queries = reps.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id", "vec").toLocalIterator()
     queries = [(r.id, bytes(r.vec)) for r in queries]
     if not queries:
@@ -329,8 +350,9 @@ def audit(reps: DataFrame, counts: DataFrame, low: float) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["id", "n"])
 
     true = reps.select("id", "vec", "weight").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    row = true.join(counts, "id", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("n_links", F.lit(0))))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+    hit = F.least("n", F.coalesce("n_links", F.lit(0)))
+    row = true.filter("n > 0").join(counts, "id", "left").agg(F.avg(hit / F.col("n")), F.sum(hit) / F.sum("n")).first()
+    return 1.0 if row[0] is None else min(row)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", low: float = 0.9, shards: int = 3) -> DataFrame:
@@ -343,11 +365,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     count = reps.count()
     if not count:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    exact = False
     while True:
-        found = Index(reps, count, low, shards).found()
+        index = Index(reps, count, low, shards, exact)
+        found = index.found()
         counts = stash(found.filter("other IS NULL").groupBy("id").agg(F.sum("n_links").alias("n_links")), "counts")
-        if shards >= 8 or audit(reps, counts, low) >= RECALL:
+        if exact or (recall := audit(reps, counts, low)) >= RECALL:
             break
+        exact = shards >= SHARDS or index.widest
+        logging.getLogger(__name__).warning("recall %.4f with %d shards for each vector; next: %s", recall, shards, "all pairs" if exact else f"{2 * shards} shards")
         shards *= 2
     joined = components(found.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     known = reps.join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")

@@ -57,6 +57,33 @@ def test_many_shards_and_blocks(spark, monkeypatch):
     assert all(got[i][0] <= want[i][0] for i in want)
 
 
+def test_exact_where_no_audit_is_passed(spark, monkeypatch):
+    """Vectors in one shard each, however many are asked for: links go across, and every audit fails."""
+
+    class Narrow(V.Index):
+        def __init__(self, reps, count, low, shards, *more):
+            super().__init__(reps, count, low, 1, *more)
+
+    monkeypatch.setattr(V, "Index", Narrow)
+    monkeypatch.setattr(V, "PER_CENTROID", 10)
+    monkeypatch.setattr(V, "BLOCK", 50)
+    rng = np.random.default_rng(11)
+    rows = [(base + 0.3 * rng.normal(size=8)).astype(np.float32).tolist() for base in rng.normal(size=(100, 8)) for _ in range(4)]
+    rows = list(enumerate(rows + rows[:20]))
+    assert collected(V.near_duplicates(table(spark, rows))) == brute(rows)
+
+
+def test_audit_counts_queries_alike(spark):
+    """All links of one dense group are found, and none of ten pairs."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=8) + 0.01 * rng.normal(size=(60, 8)), np.repeat(rng.normal(size=(10, 8)), 2, axis=0) + 0.001 * rng.normal(size=(20, 8))])
+    rows = {i: c for i, (c, _, _) in brute(list(enumerate(x.tolist()))).items()}
+    assert sum(rows[i] for i in range(60)) > 0.99 * sum(rows.values())
+    reps = spark.createDataFrame([(i, bytearray(v.astype("<f8").tobytes()), 1) for i, v in enumerate(x)], "id long, vec binary, weight long")
+    counts = spark.createDataFrame([(i, rows[i]) for i in range(60)], "id long, n_links long")
+    assert V.audit(reps, counts, 0.9) < 0.8
+
+
 def test_empty_and_unusable(spark):
     assert V.near_duplicates(table(spark, [])).collect() == []
     assert collected(V.near_duplicates(table(spark, [(1, None), (2, [0.0])]))) == {1: (0, 1, True), 2: (0, 2, True)}
