@@ -768,15 +768,9 @@ PLAN = reasoning.Plan(
 
 
 def subgraph(spark, sf_dir):
-    """A question's bounded subgraph: parts of one name, their first suppliers, and where these are."""
-    nodes, claims = kg_nodes(spark, sf_dir), kg_claims(spark, sf_dir)
-    parts = nodes.filter("entity_type = 'product' AND name = 'blue bolt'").orderBy("key").limit(20).select(F.col("key").alias("object_key"))
-    made = claims.filter("relation = 'produces'").join(parts, "object_key", "left_semi").orderBy(F.desc("grounding_score"), "claim_key").limit(40)
-    places = claims.filter("relation = 'located_in'")
-    edges = made.unionByName(places.join(made.select("subject_key").distinct(), "subject_key", "left_semi")).unionByName(places.filter("subject_type = 'country'"))
-    edges = edges.select(F.col("claim_key").alias("key"), "subject_key", "object_key", "relation", F.lit("").alias("description"), F.lit(True).alias("supported"))
-    ends = edges.select(F.explode(F.array("subject_key", "object_key")).alias("key")).distinct()
-    return nodes.join(ends, "key", "left_semi").select("key", F.col("name").alias("label"), F.col("entity_type").alias("node_type"), "description"), edges
+    """All nodes and claims; starts and beam bound what a question takes of them."""
+    edges = kg_claims(spark, sf_dir).select(F.col("claim_key").alias("key"), "subject_key", "object_key", "relation", F.lit("").alias("description"), F.lit(True).alias("supported"))
+    return kg_nodes(spark, sf_dir).select("key", F.col("name").alias("label"), F.col("entity_type").alias("node_type"), "description"), edges
 
 
 @query()

@@ -41,3 +41,15 @@ def test_entry(spark):
 
 def test_all_sql_names_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_reasoning_reads_all_nodes_and_claims(spark):
+    """29 parts of the name and 739 claims on them at sf0.01: neither 20 and 40, nor only these."""
+    from riskloom.plans import catalog
+
+    sf_dir = "/root/testdata/sf0.01"
+    nodes, edges = catalog.subgraph(spark, sf_dir)
+    parts = nodes.filter("node_type = 'product' AND label = 'blue bolt'")
+    assert parts.count() == 29
+    assert edges.join(parts.selectExpr("key AS object_key"), "object_key", "left_semi").count() == 739
+    assert nodes.count() == catalog.kg_nodes(spark, sf_dir).count() and edges.count() == catalog.kg_claims(spark, sf_dir).count()
