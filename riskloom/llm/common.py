@@ -47,16 +47,40 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: With it, Spark deletes the shuffle files of a write as soon as that write has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor costs a reread and no recomputation, and lets
-    several readers each prune the columns that they need.
+    several readers each prune the columns that they need. The shuffle files behind df go at
+    once, as nothing reads them again; `free` deletes the table when its last reader is done.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[id(found)] = path
+    return found
+
+
+#: Where the DataFrames that stash() gave lie, by their identity.
+_paths: dict[int, str] = {}
+
+
+def free(*stashed: DataFrame) -> None:
+    """Delete tables that stash() wrote and that nothing will read again."""
+    for df in stashed:
+        path = _paths.pop(id(df), None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import stash
+from riskloom.llm.common import free, stash
 
 
 def _state(pairs: DataFrame) -> tuple:
@@ -22,26 +22,37 @@ def _large(pairs: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = stash(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    found = stash(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+    free(least)
+    return found
 
 
 def _small(pairs: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them. Here u > v in each pair."""
     least = stash(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
     down = pairs.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return down.unionByName(least.withColumnRenamed("m", "v")).distinct()
+    found = stash(down.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small")
+    free(least)
+    return found
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (the smallest node reachable) for each node that stands in a link of two nodes."""
+    """node, component (the smallest node reachable) for each node that stands in a link of two nodes.
+
+    The result is a stashed table, which the caller may free.
+    """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     pairs = stash(pairs, "links")
     state = _state(pairs)
     while state[0]:
-        pairs = stash(_small(stash(_large(pairs), "large")), "small")
-        now = _state(pairs)
+        large = _large(pairs)
+        now_pairs = _small(large)
+        free(pairs, large)
+        pairs, now = now_pairs, _state(now_pairs)
         if now == state:
             break
         state = now
     roots = pairs.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    found = stash(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    free(pairs)
+    return found

@@ -1,33 +1,43 @@
 """Exact Jaccard self-join of n-gram sets by PartEnum signatures.
 
 Set sizes fall into bands such that sizes of similar sets lie in the same band or in neighbouring
-ones. Each pair of neighbouring bands is one instance: for the sizes in it, similar sets differ in
-at most k members. The instance deals the domain of shingles into n > k partitions; similar
-sets agree on at least n - k of them, and the hash of a set's members in one partition is a
-signature. Signatures of empty partitions would be shared by everything, so they aren't made; a
-set with fewer than n - k empty partitions still shares one with each set similar to it. The other
-sets (small ones, and those made of very frequent shingles) also use the members that a prefix
-filter takes, which similar sets share always.
+ones. Each pair of neighbouring bands is one instance. It deals the domain of shingles into groups
+of PARTS partitions, and within a group enumerates the subsets of KEEP partitions: the hash of a
+set's members in the partitions of one subset is a signature. Two sets that differ in at most
+SPARED = PARTS - KEEP partitions of a group agree on one of its subsets, and share that signature if
+it isn't empty (signatures of empty subsets would be shared by everything, so they aren't made).
+
+How many groups a set takes, in an order that is the same for all, depends on the set: to keep a
+group from giving a shared signature takes at least as many differences as there are partitions
+with members, or SPARED + 1 if that is less. A set takes groups until their costs sum to more than
+the most differences it may have from any similar set of the instance. Of two similar sets, the
+one that takes fewer groups has one among them in which both give the same signature. (No scheme of
+this kind gives fewer signatures than differences are allowed, plus one: with disjoint subsets one
+for each, and overlapping ones take more, which buys signatures of more members.) Sets that run
+out of groups (small ones, and those made of very frequent shingles) also use the members that a
+prefix filter takes, which similar sets share always.
 
 The most frequent shingles, found by Misra-Gries counts over all texts, are left out of the
 partitions: taking the same members away from both sets never makes them differ more. So a
-passage that a third of all texts share makes no signature. Any such set keeps the join exact.
+passage that a third of all texts share makes no signature. Any such choice keeps the join exact.
 
 Sets stand for their texts by a 64-bit fingerprint, so copies are never expanded. Up to SMALL sets
 that share a signature give all their pairs; of more, the smallest is paired with each other one.
-Pairs that byte-sized sketches rule out go; the others are verified on their members, first each set
-with its smallest partner, then pairs that this has not joined. Where more than SMALL sets share a
-signature, those of different components are then held against each other in the same way. So
-no link that joins two components is lost, and no pairs are made within a group that is joined.
+Pairs that sizes or sketches (parities of a set's members by cell, two to four bits for each) rule
+out go; the others are verified on their members, first each set with its smallest partner, then
+pairs that this has not joined. Where more than SMALL sets share a signature, those of different
+components are then held against each other, in blocks dealt over tasks. So no link that joins two
+components is lost, and no pairs are made within a group that is joined.
 
 Defined results: a text without words (null, empty, blank) has the empty set, component_id is
 its own id; equal sets are linked; a null id never names a component unless no other id can; rows
 repeated with their id are one document each; an empty table gives no rows. Texts of any length
-are read whole.
+are read whole. Of the table only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -38,36 +48,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.bytebpe import text_batches
-from riskloom.llm.common import stash
+from riskloom.llm.common import free, stash
 from riskloom.llm.components import components
 from riskloom.llm.shingles import U, _PLACES, fingerprints, mix, shingle_sets
 
-#: Partitions above k + 1, as a share of k.
-SLACK = 0.35
+#: Partitions of a group, and of a subset of them that makes a signature.
+PARTS, KEEP = 3, 2
+SPARED = PARTS - KEEP
+#: Members that a group has in the largest set of its instance.
+MEMBERS = 6
 #: Misra-Gries counters of a task, and how many of the most frequent shingles on at least FREQUENT texts are left out.
 COUNTERS, LEFT_OUT, FREQUENT = 1 << 16, 1 << 17, 64
-#: Signatures that a task gathers before it hands them on, and that one reading task gets.
-GATHERED, PER_TASK = 1_000_000, 1_000_000
+#: Signatures that a task gathers before it hands them on, and that one bucket gets; sets that a task remembers.
+GATHERED, PER_BUCKET, SEEN = 2_000_000, 2_000_000, 1 << 20
 #: Pairs that a task lists before it drops repeated ones.
 PAIRS = 2_000_000
 #: Bits of the filter that picks candidate texts, at most.
 FILTER_BITS = 1 << 28
-#: Cells of a sketch; sets with a signature in common up to which all pairs are looked at, at once.
-CELLS, SMALL = 128, 32
+#: Sets with a signature in common up to which all pairs are looked at, at once.
+SMALL = 32
+#: Bits of a sketch, at least and at most; bits of those that blocks of a list are compared by.
+LEAST_BITS, MOST_BITS, BLOCK_BITS = 64, 1 << 20, 1 << 12
 #: Bytes of text that are read at a time.
 BATCH = 2_000_000
-#: Sets verified against one set in one task.
-CHUNK = 256
+#: Sets held against one set in one task; sets of a block; members of a list in one row.
+CHUNK, BLOCK, LISTED = 256, 4096, 1 << 16
 
 
 @dataclass(frozen=True)
 class Bands:
-    """Tables by band: `tops` sizes; by instance: `k` differences at most, `n` partitions."""
+    """Sizes by band (`tops`), and by instance how many groups of partitions it has."""
 
     threshold: Fraction
     tops: np.ndarray
-    k: np.ndarray
-    n: np.ndarray
+    groups: np.ndarray
 
     @staticmethod
     def of(threshold: Fraction, largest: int) -> Bands:
@@ -75,9 +89,16 @@ class Bands:
         while tops[-1] < largest:
             tops.append(max(tops[-1] + 1, int(tops[-1] / threshold)))
         tops.append(max(tops[-1] + 1, int(tops[-1] / threshold)))
-        k = [int(2 * t * (1 - threshold) / (1 + threshold)) for t in tops]
-        n = [0 if x == 0 else x + 2 + int(np.ceil(SLACK * x)) for x in k]
-        return Bands(threshold, np.array(tops), np.array(k), np.array(n))
+        most = [int(2 * t * (1 - threshold) / (1 + threshold)) for t in tops]
+        return Bands(threshold, np.array(tops), np.array([0 if k == 0 else max(-(-t // MEMBERS), k // (SPARED + 1) + 1) for t, k in zip(tops, most, strict=True)]))
+
+    def differences(self, sizes: np.ndarray, step: int) -> np.ndarray:
+        """Most members in which a set differs from a similar one, of its own band or smaller (step 0) or the next (1); -1 if there is none."""
+        p, q = self.threshold.numerator, self.threshold.denominator
+        largest, top = sizes * q // p, self.tops[np.searchsorted(self.tops, sizes)]
+        if step:
+            return np.where(largest > top, (q - p) * (sizes + largest) // (q + p), -1)
+        return (q - p) * (sizes + np.minimum(largest, top)) // (q + p)
 
 
 def signatures(sets: np.ndarray, bounds: np.ndarray, bands: Bands, left_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,25 +118,32 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, bands: Bands, left_out: np.
     content = mix(members + _PLACES[51])
     for step in (0, 1):
         instance = band + step
-        n, k = bands.n[instance], bands.k[instance]
-        used = (n > 0) & (sizes > 0)
-        base = np.concatenate([[0], np.cumsum(np.where(used, n, 0))])
-        live = used[of]
+        most = bands.differences(sizes, step)
+        n = np.where((sizes > 0) & (most > 0), bands.groups[instance], 0)
+        base = np.concatenate([[0], np.cumsum(n)])
+        live = (n > 0)[of]
         own = of[live]
-        # the instance enters the partition so that neighbouring instances cut differently
+        # the instance enters the place so that neighbouring instances deal differently
         draw = mix(spread[live] + instance[own].astype(U)) >> U(32)
-        place = base[own] + ((draw * n[own].astype(U)) >> U(32)).astype(np.int64)
-        sums = np.zeros(base[-1], U)
+        place = base[own] * PARTS + ((draw * (n[own] * PARTS).astype(U)) >> U(32)).astype(np.int64)
+        sums = np.zeros(base[-1] * PARTS, U)
         np.add.at(sums, place, content[live])
-        full = np.zeros(base[-1], bool)
+        full = np.zeros(base[-1] * PARTS, bool)
         full[place] = True
-        which = np.repeat(np.arange(len(sizes)), np.diff(base))
-        empty = n - np.bincount(which[full], minlength=len(sizes))
-        sparse |= used & (empty >= n - k)
-        slot = np.flatnonzero(full)
-        own = which[slot]
-        found.append(mix(sums[slot] + instance[own].astype(U) * _PLACES[52] + (slot - base[own]).astype(U) * _PLACES[53]))
-        owners.append(own)
+        sums, full = sums.reshape(-1, PARTS), full.reshape(-1, PARTS)
+        which = np.repeat(np.arange(len(sizes)), n)
+        cost = np.concatenate([[0], np.cumsum(np.minimum(full.sum(axis=1), SPARED + 1))])
+        sparse |= (n > 0) & (cost[base[1:]] - cost[base[:-1]] <= most)
+        taken = np.flatnonzero(cost[:-1] - cost[base[which]] <= most[which])
+        own = which[taken]
+        name = instance[own].astype(U) * _PLACES[52] + (taken - base[own]).astype(U) * _PLACES[53]
+        for number, subset in enumerate(itertools.combinations(range(PARTS), KEEP)):
+            value, some = name + _PLACES[40 + number], np.zeros(len(taken), bool)
+            for part in subset:
+                value = value + mix(sums[taken, part] + _PLACES[44 + part])
+                some |= full[taken, part]
+            found.append(mix(value[some]))
+            owners.append(own[some])
     if sparse.any():
         take = sizes - np.ceil(sizes * float(bands.threshold) - 1e-9).astype(np.int64) + 1
         for i in np.flatnonzero(sparse):
@@ -150,20 +178,49 @@ class _Frequent:
 SURVEY = ["kind", "id", "n", "value", "sketch"]
 
 
+def widths(sizes: np.ndarray) -> np.ndarray:
+    """Bits of the sketches of sets of these sizes: a power of two."""
+    return np.clip(1 << np.ceil(np.log2(2 * np.maximum(sizes, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+
+
 def sketches(sets: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """How many members each set has in each of CELLS parts of the domain, a byte each; 255 and more are 255."""
-    n = len(bounds) - 1
-    owner = np.repeat(np.arange(n), np.diff(bounds))
-    cell = (mix(sets + _PLACES[56]) % U(CELLS)).astype(np.int64)
-    counts = np.minimum(np.bincount(owner * CELLS + cell, minlength=n * CELLS), 255).astype(np.uint8)
-    return pa.array([counts[i : i + CELLS].tobytes() for i in range(0, n * CELLS, CELLS)], pa.binary())
+    """Each set's size (8 bytes), then whether the number of its members in each cell of the domain is odd, a bit each."""
+    sizes = np.diff(bounds)
+    bits = widths(sizes)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    cell = (mix(sets + _PLACES[56]) & (np.repeat(bits, sizes) - 1).astype(U)).astype(np.int64)
+    at, n = np.unique(np.repeat(base[:-1], sizes) + cell, return_counts=True)
+    at = at[n % 2 == 1]
+    table = np.zeros(base[-1] // 8, np.uint8)
+    np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return pa.array([sizes[i].tobytes() + table[base[i] // 8 : base[i + 1] // 8].tobytes() for i in range(len(sizes))], pa.binary())
+
+
+def folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of bytes, without sizes) brought to a lesser number of bytes."""
+    while x.shape[1] > width:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
+
+
+def unpacked(sketches_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and rows of bytes of sketches that have one length."""
+    x = np.frombuffer(b"".join(sketches_), np.uint8).reshape(len(sketches_), -1)
+    return x[:, :8].copy().view(np.int64)[:, 0], x[:, 8:]
 
 
-def may_be_similar(x: np.ndarray, y: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """By sketches (rows of x and y), which pairs of sets can reach the threshold: sets share no more than cell by cell."""
-    both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-    total = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
-    return (threshold.denominator * both >= threshold.numerator * (total - both)) | (x.max(axis=1) == 255) | (y.max(axis=1) == 255)
+def may_be_similar(m: np.ndarray, x: np.ndarray, n: np.ndarray, y: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """By sizes (m, n) and sketches (rows of x and y, of one width), which pairs of sets can reach the threshold.
+
+    A member that only one of two sets has changes one parity, so sets differ in at least as many members as their
+    sketches do in bits. Rows of x and y broadcast against each other.
+    """
+    p, q = threshold.numerator, threshold.denominator
+    words = 8 if x.shape[-1] % 8 == 0 else 1
+    x, y = (np.ascontiguousarray(v).view(np.uint64 if words == 8 else np.uint8) for v in (x, y))
+    unlike = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    return (unlike * (q + p) <= (q - p) * (m + n)) & (np.minimum(m, n) * q >= np.maximum(m, n) * p)
 
 
 def survey(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -195,26 +252,22 @@ class _Gatherer:
         self.parts, self.count, self.sets = [], 0, 0
 
     def add(self, found: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> None:
-        self.parts.append((found, owner + self.sets, ids))
+        self.parts.append((found, (owner + self.sets).astype(np.uint32), ids))
         self.count += len(found)
         self.sets += len(ids)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.count:
             found, owner, ids = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
+            self.parts = []
             order = np.argsort(found)
             found, owner = found[order], owner[order]
-            bucket = (((found >> U(32)) * U(self.buckets)) >> U(32)).astype(np.int64)
-            cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
+            cuts = np.searchsorted(found >> U(32), (np.arange(self.buckets + 1, dtype=np.uint64) * U(1 << 32) + U(self.buckets - 1)) // U(self.buckets))
             for b in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[b], cuts[b + 1])
                 sets, at = np.unique(owner[part], return_inverse=True)
-                low = found[part]
-                row = [
-                    (low & U(0xFFFFFFFF)).astype("<u4").tobytes() + ((low >> U(32)) & U(0xFF)).astype("u1").tobytes(),
-                    at.astype("<u4" if len(sets) > 65535 else "<u2").tobytes(),
-                    ids[sets].tobytes(),
-                ]
+                # in a bucket the low half of a signature names it; two that agree there only give a pair that is not similar
+                row = [found[part].astype("<u4").tobytes(), at.astype("<u4" if len(sets) > 65535 else "<u2").tobytes(), ids[sets].tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["bucket", "found", "owner", "ids"])
         self.clear()
 
@@ -223,7 +276,7 @@ GATHERED_SCHEMA = "bucket int, found binary, owner binary, ids binary"
 
 
 def gather(docs: DataFrame, id_col: str, text_col: str, size: int, bands: Bands, left_out: np.ndarray, buckets: int) -> DataFrame:
-    """Signatures of all distinct sets of a task, by bucket."""
+    """Signatures of the sets of a task, by bucket. Of its last SEEN sets, a task gives each once."""
 
     def run(batches):
         gathered, seen = _Gatherer(buckets), set()
@@ -235,10 +288,11 @@ def gather(docs: DataFrame, id_col: str, text_col: str, size: int, bands: Bands,
                 if x not in seen:
                     seen.add(x)
                     fresh[i] = True
+            if len(seen) > SEEN:
+                seen.clear()
             kept = np.repeat(fresh, np.diff(bounds))
             sets, bounds = sets[kept], np.concatenate([[0], np.cumsum(np.diff(bounds)[fresh])])
-            ids = prints[fresh]
-            gathered.add(*signatures(sets, bounds, bands, left_out), ids)
+            gathered.add(*signatures(sets, bounds, bands, left_out), prints[fresh])
             if gathered.count >= GATHERED:
                 yield from gathered.flush()
         yield from gathered.flush()
@@ -246,107 +300,109 @@ def gather(docs: DataFrame, id_col: str, text_col: str, size: int, bands: Bands,
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, GATHERED_SCHEMA)
 
 
+SHARED = ["a", "b", "members"]
+
+
+def _met(parts: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The rows of `shared` for one bucket."""
+    found, ids = [], []
+    for raw, owner, own in parts:
+        own = np.frombuffer(own, np.int64)
+        found.append(np.frombuffer(raw, "<u4"))
+        ids.append(own[np.frombuffer(owner, "<u4" if len(own) > 65535 else "<u2")])
+    key, node = np.concatenate(found), np.concatenate(ids)
+    del found, ids
+    order = np.argsort(key, kind="stable")
+    key, node = key[order], node[order]
+    same = key[1:] == key[:-1]
+    live = np.append(same, False) | np.append(False, same)
+    key, node = key[live], node[live]
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]  # copies of one set in several tasks
+    key, node = key[fresh], node[fresh]
+    if not len(key):
+        return
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(first, len(key)))
+    place = np.arange(len(key)) - np.repeat(first, size)
+    many = np.repeat(size > SMALL, size)
+    pairs = np.zeros((0, 2), np.int64)
+    stars = many & (place > 0)
+    held = [np.stack([node[np.repeat(first, size)[stars]], node[stars]], 1)]
+    for step in range(1, min(SMALL, int(size.max()))):
+        at = np.flatnonzero((place >= step) & ~many)
+        held.append(np.stack([node[at - step], node[at]], 1))
+        if sum(map(len, held)) > PAIRS:
+            pairs, held = np.unique(np.concatenate([pairs, *held]), axis=0), []
+    pairs = np.unique(np.concatenate([pairs, *held]), axis=0)
+    for k in range(0, len(pairs), 100_000):
+        part = [np.ascontiguousarray(pairs[k : k + 100_000, c]) for c in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), pa.nulls(len(part[0]), pa.binary())], SHARED)
+    told = set()
+    for i, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        name = int(fingerprints(node[i : i + n].view(U), np.array([0, n])).view(np.int64)[0])
+        if name not in told:
+            told.add(name)
+            for k in range(0, n, LISTED):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([name]), pa.array([node[i + k : i + min(n, k + LISTED)].tobytes()], pa.binary())], SHARED)
+
+
 def shared(rows: DataFrame, buckets: int) -> DataFrame:
     """Pairs a < b of sets that share a signature, and the sets of signatures that more than SMALL have.
 
     Up to SMALL sets give all their pairs. More give those of the smallest id with each other one,
-    and their list (a null, b its number, members).
+    and their list, LISTED members a row (a: the row's first place, b: the list's name, members).
+    A task holds the signatures of one bucket at a time.
     """
 
     def run(batches):
-        found, ids = [], []
+        held, name = [], None
         for batch in batches:
-            for bucket, raw, owner, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n, own = len(raw) // 5, np.frombuffer(own, np.int64)
-                at = np.frombuffer(owner, "<u4" if len(own) > 65535 else "<u2").astype(np.int64)
-                found.append(np.frombuffer(raw, "<u4", n).astype(U) | (np.frombuffer(raw, "u1", n, 4 * n).astype(U) << U(32)) | (U(bucket) << U(40)))
-                ids.append(own[at])
-        if not found:
-            return
-        key = np.concatenate(found)
-        order = np.argsort(key, kind="stable")
-        key, node = key[order], np.concatenate(ids)[order]
-        same = key[1:] == key[:-1]
-        live = np.append(same, False) | np.append(False, same)
-        key, node = key[live], node[live]
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]  # copies of one set in several tasks
-        key, node = key[fresh], node[fresh]
-        if not len(key):
-            return
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(first, len(key)))
-        place = np.arange(len(key)) - np.repeat(first, size)
-        many = np.repeat(size > SMALL, size)
-        pairs = np.zeros((0, 2), np.int64)
-        stars = many & (place > 0)
-        held = [np.stack([node[np.repeat(first, size)[stars]], node[stars]], 1)]
-        for step in range(1, min(SMALL, int(size.max()))):
-            at = np.flatnonzero((place >= step) & ~many)
-            held.append(np.stack([node[at - step], node[at]], 1))
-            if sum(map(len, held)) > PAIRS:
-                pairs, held = np.unique(np.concatenate([pairs, *held]), axis=0), []
-        pairs = np.unique(np.concatenate([pairs, *held]), axis=0)
-        for k in range(0, len(pairs), 100_000):
-            part = [np.ascontiguousarray(pairs[k : k + 100_000, c]) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), pa.nulls(len(part[0]), pa.binary())], ["a", "b", "members"])
-        lists = {node[i : i + n].tobytes() for i, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True)}
-        for m in lists:
-            name = int(fingerprints(np.frombuffer(m, U), np.array([0, len(m) // 8])).view(np.int64)[0])
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([name]), pa.array([m], pa.binary())], ["a", "b", "members"])
-
-    return rows.repartition(buckets, "bucket").mapInArrow(run, "a long, b long, members binary")
-
-
-def screened(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs that sketches don't rule out. nodes: node, sketch."""
-    rows = beside(pairs, nodes.withColumnRenamed("sketch", "members"))
+            for bucket, *part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != name and held:
+                    yield from _met(held)
+                    held = []
+                name = bucket
+                held.append(part)
+        if held:
+            yield from _met(held)
 
-    def run(batches):
-        middle, name = np.zeros(CELLS, np.uint8), None
-        for batch in (b for b in batches if b.num_rows):
-            a, b = batch.column(0).to_numpy(), batch.column(2).fill_null(0).to_numpy()
-            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, CELLS)
-            head = batch.column(2).is_null().to_numpy(zero_copy_only=False)
-            at = np.maximum.accumulate(np.where(head, np.arange(len(a)), -1))
-            mine = np.where(at[:, None] >= 0, x[np.maximum(at, 0)], middle[None, :])
-            ok = ~head & may_be_similar(mine, x, threshold)
-            if at[-1] >= 0:
-                middle, name = x[at[-1]].copy(), a[at[-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, members binary")
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
 
-
-def across(lists: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of different components among the sets of each list, without those that sketches rule out."""
-    exploded = lists.mapInArrow(unfolded, "list long, node long")
-    known = exploded.join(labels, "node")
-    mixed = known.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("list")
-    rows = known.join(mixed, "list").join(nodes, "node").select("list", "label", "node", "sketch")
-    rows = rows.repartition("list").sortWithinPartitions("list", "label", "node")
+def screened(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs that sizes and sketches don't rule out. nodes: node, sketch."""
+    dealt = beside(pairs, nodes.withColumnRenamed("sketch", "members"))
+    rows = dealt[-1]
 
     def run(batches):
-        """Blocks of a list's rows against those before them, whose labels are smaller."""
-        held, name = [], None
+        middle, name = None, None
         for batch in (b for b in batches if b.num_rows):
-            lists_, labels_, nodes_ = (batch.column(c).to_numpy() for c in range(3))
-            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, CELLS)
-            cuts = np.flatnonzero(np.append(True, lists_[1:] != lists_[:-1]))
-            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(lists_)], strict=True):
-                if lists_[i] != name:
-                    held, name = [], lists_[i]
-                held.append((labels_[i:j], nodes_[i:j], x[i:j]))
-                old_l, old_n, old_x = (np.concatenate([h[c] for h in held]) for c in range(3))
-                for k in range(i, j):
-                    m = int(np.searchsorted(old_l, labels_[k]))
-                    ok = np.flatnonzero(may_be_similar(old_x[:m], x[k][None, :], threshold)) if m else []
-                    if len(ok):
-                        a, b = np.minimum(old_n[ok], nodes_[k]), np.maximum(old_n[ok], nodes_[k])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+            ids, partner, sketch = batch.column(0).to_numpy(), batch.column(2), batch.column(3).to_pylist()
+            heads = np.flatnonzero(partner.is_null().to_numpy(zero_copy_only=False)).tolist()
+            partner = partner.fill_null(0).to_numpy()
+            left, right = [], []
+            for i, j in zip([-1, *heads], [*heads, len(ids)], strict=True):
+                if i >= 0:
+                    middle, name = unpacked([sketch[i]]), ids[i]
+                i += 1
+                if i == j or middle is None or ids[i] != name:
+                    continue
+                lengths = np.array([len(x) for x in sketch[i:j]])
+                for n in np.unique(lengths).tolist():
+                    at = i + np.flatnonzero(lengths == n)
+                    m, x = unpacked([sketch[k] for k in at.tolist()])
+                    width = min(n - 8, middle[1].shape[1])
+                    ok = at[may_be_similar(middle[0], folded(middle[1], width), m, folded(x, width), threshold)]
+                    left.append(ids[ok])
+                    right.append(partner[ok])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    found = stash(rows.mapInArrow(run, "a long, b long").distinct(), "screened")
+    free(*dealt[:-1])
+    return found
 
 
 def unfolded(batches):
@@ -356,15 +412,84 @@ def unfolded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name)), pa.array(own)], ["list", "node"])
 
 
-def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, chunk, b, members: for each a and each CHUNK or so of its partners its own members (b null), then theirs."""
+def across(lists: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs of different components among the sets of each list, without those that sizes and sketches rule out.
+
+    Sets of a list's largest component are not held against each other. The others are cut into
+    blocks of BLOCK, and each block meets each block of the list in a task of its own.
+    """
+    known = stash(lists.mapInArrow(unfolded, "list long, node long").join(labels, "node"), "known")
+    counts = known.groupBy("list", "label").count().groupBy("list").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("total"))
+    counts = counts.withColumn("other", F.col("total") - F.col("top.count")).filter("other > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    mixed = counts.select("list", F.col("top.label").alias("large"), blocks("other").alias("lefts"), blocks("total").alias("rights"))
+    rows = known.join(mixed, "list").withColumn("deal", F.xxhash64("node"))
+    place = lambda n: F.pmod("deal", F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["list", "i", "j", "side", "label", "node"]
+    left = rows.filter("label <> large").withColumns({"side": F.lit(0), "i": place("lefts")}).withColumn("j", each("rights"))
+    right = rows.withColumns({"side": F.lit(1), "j": place("rights")}).withColumn("i", each("lefts"))
+    small = nodes.mapInArrow(_small_sketches, "node long, sketch binary")
+    both = left.select(columns).unionByName(right.select(columns)).join(small, "node").select(*columns, "sketch")
+    both = both.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "side", "label", "node")
+
+    def run(batches):
+        """The left sets of a pair of blocks are held, by sketch length; the right ones stream past them."""
+        held, name = {}, None
+        for batch in (b for b in batches if b.num_rows):
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], 1)
+            label, node, sketch = batch.column(4).to_numpy(), batch.column(5).to_numpy(), batch.column(6).to_pylist()
+            lengths = np.array([len(x) for x in sketch])
+            cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))).tolist()
+            for i, j in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                if tuple(keys[i, :3]) != name:
+                    held, name = {}, tuple(keys[i, :3])
+                for n in np.unique(lengths[i:j]).tolist():
+                    at = i + np.flatnonzero(lengths[i:j] == n)
+                    part = label[at], node[at], *unpacked([sketch[k] for k in at.tolist()])
+                    if keys[i, 3] == 0:
+                        held.setdefault(n, []).append(part)
+                        continue
+                    for m in (n, (n - 8) // 2 + 8, (n - 8) * 2 + 8):
+                        for own in held.get(m, []):
+                            yield from _pairs(own, part, (min(m, n) - 8), threshold)
+
+    found = stash(both.mapInArrow(run, "a long, b long").distinct(), "across")
+    free(known)
+    return found
+
+
+def _small_sketches(batches):
+    for batch in batches:
+        short = []
+        for x in batch.column(1).to_pylist():
+            size, bits = unpacked([x])
+            short.append(size.tobytes() + folded(bits, min(bits.shape[1], BLOCK_BITS // 8)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], ["node", "sketch"])
+
+
+def _pairs(left: tuple, right: tuple, width: int, threshold: Fraction) -> Iterator[pa.RecordBatch]:
+    (la, na, ma, xa), (lb, nb, mb, xb) = left, right
+    xa, xb = folded(xa, width), folded(xb, width)
+    rows = max(1, (8 << 20) // (len(xa) * width))
+    for k in range(0, len(xb), rows):
+        part = slice(k, k + rows)
+        ok = may_be_similar(ma[None, :], xa[None, :, :], mb[part, None], xb[part, None, :], threshold)
+        i, j = np.nonzero(ok & (la[None, :] != lb[part, None]))
+        if len(i):
+            a, b = na[j], nb[part][i]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def beside(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A table to free, and a, chunk, b, members: for each a and each CHUNK or so of its partners its own members (b null), then theirs."""
     per = pairs.groupBy("a").agg((F.floor((F.count("*") - 1) / CHUNK) + 1).cast("int").alias("chunks"))
     dealt = pairs.join(per, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int"))
     dealt = stash(dealt.select("a", "chunk", "b"), "dealt")
     others = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "members")
     middles = dealt.select("a", "chunk").distinct().join(sets.withColumnRenamed("node", "a"), "a")
     rows = middles.select("a", "chunk", F.lit(None).cast("long").alias("b"), "members").unionByName(others)
-    return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    return dealt, rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
 
 def filter_bits(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -373,9 +498,8 @@ def filter_bits(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (x >> U(32)) % U(bits), (x & U(0xFFFFFFFF)) % U(bits)
 
 
-def build_filter(ids: DataFrame, count: int) -> np.ndarray:
+def build_filter(ids: DataFrame, bits: int) -> np.ndarray:
     """A Bloom filter of the ids, of bounded size; beyond it more texts pass, and none is lost."""
-    bits = min(FILTER_BITS, max(1024, 16 * count))
 
     def run(batches):
         table = np.zeros(bits // 8 + 1, np.uint8)
@@ -395,7 +519,7 @@ def pick_sets(docs: DataFrame, id_col: str, text_col: str, size: int, table: np.
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        bitmap = sent.value
+        bitmap, seen = sent.value, set()
         for batch in text_batches(batches, limit=BATCH):
             ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             hit = np.ones(len(ids), bool)
@@ -405,15 +529,18 @@ def pick_sets(docs: DataFrame, id_col: str, text_col: str, size: int, table: np.
                 continue
             sets, bounds = shingle_sets(batch.column(1).fill_null("").filter(pa.array(hit)), size)
             prints = fingerprints(sets, bounds).view(np.int64)
-            members = [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(prints), pa.array(members, pa.binary())], ["node", "members"])
+            fresh = [i for i, x in enumerate(prints.tolist()) if not (x in seen or seen.add(x))]
+            if len(seen) > SEEN:
+                seen.clear()
+            members = [sets[bounds[i] : bounds[i + 1]].tobytes() for i in fresh]
+            yield pa.RecordBatch.from_arrays([pa.array(prints[fresh]), pa.array(members, pa.binary())], ["node", "members"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "node long, members binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs whose sets are similar. A set is sent once for each CHUNK sets that it is held against."""
-    rows = beside(pairs, sets)
+    dealt, rows = beside(pairs, sets)
 
     def run(batches):
         middle, name = np.zeros(0, U), None
@@ -432,18 +559,26 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
                         right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return stash(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    links = stash(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    free(dealt)
+    return links
 
 
 def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes with their component as label."""
-    found = components(links).select("node", F.col("component").alias("label"))
-    return nodes.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """nodes with their component as label, as a stashed table."""
+    found = components(links)
+    named = nodes.join(found.select("node", F.col("component").alias("label")), "node", "left")
+    named = stash(named.withColumn("label", F.coalesce("label", "node")), "labels")
+    free(found)
+    return named
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id."""
-    spark = docs.sparkSession
     found = stash(survey(docs, id_col, text_col, size), "survey")
     rows = found.filter("kind = 0").select("id", F.col("n").alias("n_shingles"), F.col("value").alias("node"), "sketch")
     total, largest = rows.agg(F.sum("n_shingles"), F.max("n_shingles")).first()
@@ -451,39 +586,45 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = often.orderBy(F.desc("n"), "value").limit(LEFT_OUT).select("value").toPandas()["value"]
     left_out = np.sort(often.to_numpy(np.int64).view(U))
     bands = Bands.of(threshold, largest or 1)
-    buckets = max(1, min(1 << 16, -(-(total or 0) // PER_TASK)))
+    buckets = max(1, min(1 << 16, -(-(total or 0) // PER_BUCKET)))
     met = stash(shared(gather(docs, id_col, text_col, size, bands, left_out, buckets), buckets), "met")
     stars = stash(met.filter("members IS NULL").select("a", "b").distinct(), "stars")
-    lists = met.filter("members IS NOT NULL").select("b", "members").dropDuplicates(["b"])
+    lists = stash(met.filter("members IS NOT NULL").dropDuplicates(["a", "b"]).select("b", "members"), "lists")
+    free(met)
     classes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.min("sketch").alias("sketch"))
-    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    listed = lists.select("b", "members").mapInArrow(unfolded, "list long, node long").select("node")
-    nodes = stash(classes.join(ends(stars).union(listed).distinct(), "node"), "nodes")
+    nodes = stash(classes.join(ends(stars), "node", "left_semi"), "nodes")  # a list's sets all stand in pairs
     plain = nodes.select("node", "sketch")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """The pairs whose sets are similar; reads the texts of their sets alone."""
+        """The pairs whose sets are similar, as far as they join components; reads the texts of their sets alone."""
         firsts = stash(nodes.join(ends(pairs), "node", "left_semi").select(F.coalesce("first_id", F.lit(-1)).cast("long").alias("id")), "firsts")
         count = firsts.count()
-        if not count:
-            return spark.createDataFrame([], "a long, b long")
-        table = build_filter(firsts, count)
-        sets = stash(pick_sets(docs, id_col, text_col, size, table, min(FILTER_BITS, max(1024, 16 * count))), "sets")
+        bits = min(FILTER_BITS, max(1024, 16 * count))
+        sets = stash(pick_sets(docs, id_col, text_col, size, build_filter(firsts, bits), bits), "sets")
+        if sets.count() > sets.select("node").distinct().count():  # ids that repeat
+            again = stash(sets.dropDuplicates(["node"]), "sets")
+            free(sets)
+            sets = again
         # each set against its smallest partner, then what these links haven't joined
         smallest = stash(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "smallest")
         links = verified(smallest, sets, threshold)
-        labels = stash(labelled(ends(pairs), links), "labels")
+        labels = labelled(ends(pairs), links)
         again = pairs.join(smallest, ["a", "b"], "left_anti").join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
         again = again.join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").filter("x <> y").select("a", "b")
-        return links.unionByName(verified(again, sets, threshold))
+        links = links.unionByName(verified(again, sets, threshold))
+        free(firsts, sets, smallest, labels)
+        return links
 
-    links = similar(stash(screened(stars, plain, threshold), "screened"))
+    close = screened(stars, plain, threshold)
+    links = similar(close)
     if not lists.isEmpty():
-        labels = stash(labelled(plain.select("node"), links), "labels")
-        rest = across(lists.select("b", "members"), labels, plain, threshold).join(stars, ["a", "b"], "left_anti")
-        links = links.unionByName(similar(stash(rest, "rest")))
-    links = stash(links, "links")
-    groups = components(links).select("node", "component")
+        labels = labelled(plain.select("node"), links)
+        rest = across(lists, labels, plain, threshold)
+        fresh = stash(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+        links = links.unionByName(similar(screened(fresh, plain, threshold)))
+        free(labels, rest, fresh)
+    free(stars, lists, close, nodes)
+    groups = components(links)
     named = rows.filter("n_shingles > 0").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("least"))
     named = named.join(least, "component").select("id", "n_shingles", F.col("least").alias("component_id"))

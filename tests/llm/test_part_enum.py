@@ -117,12 +117,50 @@ def test_large_groups_are_met_across_components(spark, documents, monkeypatch):
 def test_sketches_never_rule_out_similar_sets():
     rng = np.random.default_rng(6)
     for _ in range(200):
-        x = np.unique(rng.integers(0, 1 << 62, int(rng.choice([2, 20, 300, 40_000]))).astype(np.uint64))
-        y = np.unique(np.concatenate([x[: len(x) - len(x) // 8], rng.integers(0, 1 << 62, len(x) // 8).astype(np.uint64)]))
+        n = int(rng.choice([2, 20, 300, 40_000]))
+        x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: len(x) - len(x) // 8], rng.integers(0, 1 << 62, n // 8).astype(np.uint64)]))
         both = len(np.intersect1d(x, y))
-        raw = P.sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])).to_pylist()
-        a, b = (np.frombuffer(r, np.uint8)[None, :] for r in raw)
-        assert 4 * both < 3 * (len(x) + len(y) - both) or P.may_be_similar(a, b, Fraction(3, 4))[0]
+        (m, a), (k, b) = (P.unpacked([r]) for r in P.sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])).to_pylist())
+        assert (m[0], k[0]) == (len(x), len(y))
+        for width in {min(a.shape[1], b.shape[1]), 8}:
+            ok = P.may_be_similar(m, P.folded(a, width), k, P.folded(b, width), Fraction(3, 4))[0]
+            assert ok or 4 * both < 3 * (len(x) + len(y) - both)
+
+
+def test_sketches_rule_out_half_equal_sets():
+    rng = np.random.default_rng(7)
+    for n in (200, 3000, 20_000):
+        pool = np.unique(rng.integers(0, 1 << 62, 2 * n).astype(np.uint64))
+        x, y = np.sort(pool[:n]), np.sort(pool[n // 3 : n // 3 + n])
+        (m, a), (k, b) = (P.unpacked([r]) for r in P.sketches(np.concatenate([x, y]), np.array([0, n, 2 * n])).to_pylist())
+        assert not P.may_be_similar(m, a, k, b, Fraction(3, 4))[0]
+
+
+def test_subsets_are_enumerated_and_few():
+    """Each group gives a signature for each pair of its three partitions, and a set about one for each member."""
+    rng = np.random.default_rng(8)
+    bands = P.Bands.of(Fraction(3, 4), 5000)
+    for n in (100, 517, 1000, 4800):
+        x = np.sort(np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)))
+        found, _ = P.signatures(x, np.array([0, len(x)]), bands, np.zeros(0, np.uint64))
+        assert 0.5 * n < len(found) == len(np.unique(found)) < 1.3 * n
+
+
+def test_lists_meet_in_blocks(spark, documents, monkeypatch):
+    monkeypatch.setattr(P, "SMALL", 2)
+    monkeypatch.setattr(P, "BLOCK", 3)
+    monkeypatch.setattr(P, "LISTED", 2)
+    rows = corpus(13)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in P.similar_groups(documents(rows, 2)).collect()}
+    assert got == brute(rows)
+
+
+def test_repeated_ids(spark, documents):
+    """Rows with one id and different texts, repeated rows and null ids are documents of their own."""
+    rows = [(1, "a b c d e f g"), (1, "z y x w v"), (1, "a b c d e f g"), (None, "A b c d e f g"), (None, "q r"), (7, "z y x w v")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in P.similar_groups(documents(rows)).collect()), key=str)
+    assert got == sorted([(1, 3, 1), (1, 1, 1), (1, 3, 1), (None, 3, 1), (None, 1, None), (7, 1, 1)], key=str)
 
 
 def test_empty(spark, documents):
