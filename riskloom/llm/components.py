@@ -1,6 +1,6 @@
 """Connected components of a distributed list of links, by alternating large and small stars.
 
-Rows stay in the cluster; the driver sees one count and one checksum a round. The number of
+Rows stay in the cluster; the driver only learns each round whether all links are stars by now. The number of
 rounds grows with the logarithm of the longest path. Hot nodes (a star whose middle has a third
 of all links) are safe: their smallest neighbour is found by partial aggregation, and the join
 that spreads it reads stashed tables, whose large partitions AQE may split.
@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import free, stash
 
 
-def _state(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _settled(pairs: DataFrame) -> bool:
+    """Whether the pairs are stars: no node has two smaller ends, and none that has one is one."""
+    both = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    ends = both.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("middle"))
+    return ends.filter("ups > 1 OR (ups = 1 AND middle = 0)").isEmpty()
 
 
 def _large(pairs: DataFrame) -> DataFrame:
@@ -43,15 +46,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     pairs = stash(pairs, "links")
-    state = _state(pairs)
-    while state[0]:
+    while not _settled(pairs):
         large = _large(pairs)
-        now_pairs = _small(large)
+        small = _small(large)
         free(pairs, large)
-        pairs, now = now_pairs, _state(now_pairs)
-        if now == state:
-            break
-        state = now
+        pairs = small
     roots = pairs.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     found = stash(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
     free(pairs)

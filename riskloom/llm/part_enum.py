@@ -60,7 +60,9 @@ MEMBERS = 6
 #: Misra-Gries counters of a task, and how many of the most frequent shingles on at least FREQUENT texts are left out.
 COUNTERS, LEFT_OUT, FREQUENT = 1 << 16, 1 << 17, 64
 #: Signatures that a task gathers before it hands them on, and that one bucket gets; sets that a task remembers.
-GATHERED, PER_BUCKET, SEEN = 2_000_000, 2_000_000, 1 << 20
+GATHERED, PER_BUCKET, SEEN = 1_500_000, 1_500_000, 1 << 20
+#: Buckets at least, so that a cluster's executors all have some, and at most.
+BUCKETS = 64, 1 << 16
 #: Pairs that a task lists before it drops repeated ones.
 PAIRS = 2_000_000
 #: Bits of the filter that picks candidate texts, at most.
@@ -368,7 +370,7 @@ def shared(rows: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from _met(held)
 
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, members binary")
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, members binary")
 
 
 def screened(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
@@ -416,21 +418,25 @@ def across(lists: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: Fra
     """Pairs of different components among the sets of each list, without those that sizes and sketches rule out.
 
     Sets of a list's largest component are not held against each other. The others are cut into
-    blocks of BLOCK, and each block meets each block of the list in a task of its own.
+    blocks of BLOCK, and each block meets each block of the list in a task of its own. Lists overlap
+    (sets that are alike share many signatures); a pair counts in the first list that has both.
     """
     known = stash(lists.mapInArrow(unfolded, "list long, node long").join(labels, "node"), "known")
     counts = known.groupBy("list", "label").count().groupBy("list").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("total"))
     counts = counts.withColumn("other", F.col("total") - F.col("top.count")).filter("other > 0")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     mixed = counts.select("list", F.col("top.label").alias("large"), blocks("other").alias("lefts"), blocks("total").alias("rights"))
-    rows = known.join(mixed, "list").withColumn("deal", F.xxhash64("node"))
+    rows = known.join(mixed, "list")
+    lists_of = rows.groupBy("node").agg(F.array_sort(F.collect_list("list")).alias("lists"))  # as many as a set has signatures
+    rows = rows.withColumn("deal", F.xxhash64("node"))
     place = lambda n: F.pmod("deal", F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["list", "i", "j", "side", "label", "node"]
     left = rows.filter("label <> large").withColumns({"side": F.lit(0), "i": place("lefts")}).withColumn("j", each("rights"))
     right = rows.withColumns({"side": F.lit(1), "j": place("rights")}).withColumn("i", each("lefts"))
     small = nodes.mapInArrow(_small_sketches, "node long, sketch binary")
-    both = left.select(columns).unionByName(right.select(columns)).join(small, "node").select(*columns, "sketch")
+    both = left.select(columns).unionByName(right.select(columns)).join(small, "node").join(lists_of, "node")
+    both = both.select(*columns, "sketch", F.filter("lists", lambda x: x < F.col("list")).alias("before"))
     both = both.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "side", "label", "node")
 
     def run(batches):
@@ -439,6 +445,7 @@ def across(lists: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: Fra
         for batch in (b for b in batches if b.num_rows):
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], 1)
             label, node, sketch = batch.column(4).to_numpy(), batch.column(5).to_numpy(), batch.column(6).to_pylist()
+            before = [frozenset(x) for x in batch.column(7).to_pylist()]
             lengths = np.array([len(x) for x in sketch])
             cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))).tolist()
             for i, j in zip(cuts, [*cuts[1:], len(keys)], strict=True):
@@ -446,7 +453,7 @@ def across(lists: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: Fra
                     held, name = {}, tuple(keys[i, :3])
                 for n in np.unique(lengths[i:j]).tolist():
                     at = i + np.flatnonzero(lengths[i:j] == n)
-                    part = label[at], node[at], *unpacked([sketch[k] for k in at.tolist()])
+                    part = label[at], node[at], *unpacked([sketch[k] for k in at.tolist()]), [before[k] for k in at.tolist()]
                     if keys[i, 3] == 0:
                         held.setdefault(n, []).append(part)
                         continue
@@ -469,13 +476,15 @@ def _small_sketches(batches):
 
 
 def _pairs(left: tuple, right: tuple, width: int, threshold: Fraction) -> Iterator[pa.RecordBatch]:
-    (la, na, ma, xa), (lb, nb, mb, xb) = left, right
+    (la, na, ma, xa, fa), (lb, nb, mb, xb, fb) = left, right
     xa, xb = folded(xa, width), folded(xb, width)
     rows = max(1, (8 << 20) // (len(xa) * width))
     for k in range(0, len(xb), rows):
         part = slice(k, k + rows)
         ok = may_be_similar(ma[None, :], xa[None, :, :], mb[part, None], xb[part, None, :], threshold)
         i, j = np.nonzero(ok & (la[None, :] != lb[part, None]))
+        own = [fb[k + x].isdisjoint(fa[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        i, j = i[own], j[own]
         if len(i):
             a, b = na[j], nb[part][i]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -586,7 +595,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = often.orderBy(F.desc("n"), "value").limit(LEFT_OUT).select("value").toPandas()["value"]
     left_out = np.sort(often.to_numpy(np.int64).view(U))
     bands = Bands.of(threshold, largest or 1)
-    buckets = max(1, min(1 << 16, -(-(total or 0) // PER_BUCKET)))
+    buckets = max(BUCKETS[0], min(BUCKETS[1], -(-(total or 0) // PER_BUCKET)))
     met = stash(shared(gather(docs, id_col, text_col, size, bands, left_out, buckets), buckets), "met")
     stars = stash(met.filter("members IS NULL").select("a", "b").distinct(), "stars")
     lists = stash(met.filter("members IS NOT NULL").dropDuplicates(["a", "b"]).select("b", "members"), "lists")
@@ -595,8 +604,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = stash(classes.join(ends(stars), "node", "left_semi"), "nodes")  # a list's sets all stand in pairs
     plain = nodes.select("node", "sketch")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """The pairs whose sets are similar, as far as they join components; reads the texts of their sets alone."""
+    def similar(pairs: DataFrame, stars_first: bool) -> DataFrame:
+        """The pairs whose sets are similar, as far as they join components; reads the texts of their sets alone.
+
+        With stars_first each set is held against its smallest partner before the others, which spares most pairs
+        where sets come in groups.
+        """
         firsts = stash(nodes.join(ends(pairs), "node", "left_semi").select(F.coalesce("first_id", F.lit(-1)).cast("long").alias("id")), "firsts")
         count = firsts.count()
         bits = min(FILTER_BITS, max(1024, 16 * count))
@@ -605,6 +618,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             again = stash(sets.dropDuplicates(["node"]), "sets")
             free(sets)
             sets = again
+        if not stars_first:
+            links = verified(pairs, sets, threshold)
+            free(firsts, sets)
+            return links
         # each set against its smallest partner, then what these links haven't joined
         smallest = stash(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "smallest")
         links = verified(smallest, sets, threshold)
@@ -616,12 +633,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return links
 
     close = screened(stars, plain, threshold)
-    links = similar(close)
+    links = similar(close, True)
     if not lists.isEmpty():
         labels = labelled(plain.select("node"), links)
         rest = across(lists, labels, plain, threshold)
         fresh = stash(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-        links = links.unionByName(similar(screened(fresh, plain, threshold)))
+        links = links.unionByName(similar(screened(fresh, plain, threshold), False))
         free(labels, rest, fresh)
     free(stars, lists, close, nodes)
     groups = components(links)

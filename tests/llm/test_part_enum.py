@@ -5,11 +5,17 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from riskloom.llm import part_enum as P
 from riskloom.llm import shingles as S
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(P, "BUCKETS", (4, 1 << 16))
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if len(words) >= 5:
