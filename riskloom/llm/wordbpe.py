@@ -6,7 +6,8 @@ the pair of lowest rank wherever it stands; words without a known pair leave the
 
 Defined results: a null text is empty and has no ids; special tokens' strings in a text become
 their ids, as the library does; texts of any length are encoded whole, in batches of bounded
-size; equal rows give equal results; an empty table gives no rows.
+size; equal rows give equal results; an empty table gives no rows. Only the id and the text are
+read, so other columns may have any name; a null id stays null.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.bytebpe import byte_alphabet
 
-#: What the vocabulary's pre-tokeniser keeps of a text (fixed by the vocabulary).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+#: What the vocabulary's pre-tokeniser keeps of a text (fixed by the vocabulary), with the classes to be filled in.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+"
 END = "</w>"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -70,16 +71,53 @@ def merge_words(symbols: np.ndarray, starts: np.ndarray, keys: np.ndarray, ranks
     return symbols[order], np.bincount(words, minlength=n_words)
 
 
+def library_classes() -> dict[str, str]:
+    """Letters, numbers and white space as the tokenizers library has them, as ranges for a character class.
+
+    Its Unicode tables are not those of Python's modules, so it is asked, for all code points at once.
+    """
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = {}
+    for name, pattern in (("letters", r"\p{L}+"), ("numbers", r"\p{N}+"), ("spaces", r"\s+")):
+        runs = [piece for piece, _ in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every)]
+        spans = []
+        for run in runs:  # a run over the surrogates' gap is two ranges
+            low = [c for c in run if c < "\ud800"]
+            spans += [x for x in (low, run[len(low) :]) if x]
+        out[name] = "".join(f"\\U{ord(x[0]):08x}-\\U{ord(x[-1]):08x}" for x in spans)
+    return out
+
+
+def odd_characters(normalize) -> re.Pattern:
+    """Characters that the library normalises otherwise than Python, and those unknown to Python, which might join others."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c != 1]
+    theirs = normalize("\x01".join(every)).split("\x01")
+    odd = [c for c, t in zip(every, theirs, strict=True) if unicodedata.category(c) == "Cn" or (t != " " and t != plain(c))]
+    codes = np.array([ord(c) for c in odd])
+    first = np.flatnonzero(np.append(True, np.diff(codes) > 1))
+    last = np.append(first[1:] - 1, len(codes) - 1)
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(codes[first].tolist(), codes[last].tolist(), strict=True)) + "]")
+
+
+def plain(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter, so without a final form
+
+
 class WordBpe:
     def __init__(self, path: str):
-        import regex
+        from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_file(path).normalizer.normalize_str
+        self.odd = odd_characters(self.library).search
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.find = regex.compile(PATTERN).findall
+        self.find = re.compile(PATTERN.format(**library_classes())).findall
         self.base = max([*vocab.values(), *self.special.values()]) + 1
         names = [""] * self.base
         for name, i in (vocab | self.special).items():
@@ -95,9 +133,9 @@ class WordBpe:
         self.ranks, self.merged = first.astype(np.int64), made[first]
 
     def normal(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter, so without a final form
-        return text.lower()
+        if text.isascii():
+            return text.lower()
+        return self.library(text) if self.odd(text) else plain(text)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words in one array, and the number of each word's ids."""
@@ -167,8 +205,24 @@ def load(path: str) -> WordBpe:
     return _loaded[path]
 
 
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id_col, ids (an array), decoded (their text)."""
+
+    def run(batches):
+        from riskloom.llm.bytebpe import text_batches
+
+        bpe = load(tokenizer)
+        for batch in text_batches(batches):
+            ids = bpe.encode_batch(batch.column(1).to_pylist())
+            ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
+            flat = pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), bpe.decode_batch(ids).cast(pa.string())], [id_col, "ids", "decoded"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"`{id_col}` long, ids array<long>, decoded string")
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256: `encode` where only its digests are asked for."""
 
     def run(batches):
         from riskloom.llm.bytebpe import text_batches

@@ -134,3 +134,31 @@ def test_most_windows_come_from_combinations():
     rng = np.random.default_rng(2)
     windows = packing.plan(rng.integers(1, 2048, 5000))
     assert sum(len(w) <= packing.DEPTH + 1 for w in windows) > 0.8 * len(windows)
+
+
+def test_word_bpe_over_all_code_points():
+    """Every code point between two letters, alone and doubled, gives the library's ids."""
+    from tokenizers import Tokenizer
+
+    path = WORDS
+    library = Tokenizer.from_file(path)
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x35000), *range(0xE0000, 0xE0200)]]
+    texts = [f"a{c}b {c}{c} 1{c}" for c in every]
+    for k in range(0, len(texts), 20_000):
+        part = texts[k : k + 20_000]
+        theirs = library.encode_batch(part, add_special_tokens=False)
+        ours = wordbpe.load(path).encode_batch(part)
+        wrong = [t for t, a, b in zip(part, ours, theirs, strict=True) if a.tolist() != b.ids]
+        assert not wrong, (len(wrong), [hex(ord(t[1])) for t in wrong[:20]])
+
+
+def test_word_bpe_gives_ids_and_texts(spark, documents):
+    from tokenizers import Tokenizer
+
+    path = WORDS
+    library = Tokenizer.from_file(path)
+    rows = [(1, "Hello  World 42"), (2, None), (3, "\u1c89 gr\u00fc\u00dfe <|endoftext|>"), (None, "x")]
+    got = {r.doc_id: (list(r.ids), r.decoded) for r in wordbpe.encode(documents(rows), path).collect()}
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i] == (ids, library.decode(ids, skip_special_tokens=False))
