@@ -6,10 +6,18 @@ gives an undecided block the label of its nearest decided neighbour in the same
 being one article or the page outside of articles; blocks that are bad for their place alone
 (menus, adverts, comments, ..., lists of links inside an article) are no neighbours.
 
+A class or id marks a place if each of its parts is a known mark or a word of layout
+("cookie-notice", "sidebar-left"). With any other part ("related-work") it only makes short and
+link-dense blocks bad; after "no", "has" and the like it marks nothing ("has-sidebar"). Marks of a
+container that holds MOST of the page's text are passed over. The stop words are those of four
+languages; a page that has hardly any of them is judged by length and links alone.
+
 Defined results: null, empty and tagless html are handled alike (a tagless page is one block
-outside any article); unclosed and misnested tags close with their container; character
-references are decoded once, without another look for tags; equal rows give equal results; an
-empty table gives no rows.
+outside any article); a page without any decided block keeps its undecided ones; unclosed and
+misnested tags close with their container; character references are decoded once, without another
+look for tags; pages of any length are read whole; null and repeated ids are ids like others, and
+equal rows give equal results; an empty table gives no rows. Only id, url and html are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,6 +35,8 @@ OUTSIDE = frozenset("aside button dialog fieldset footer form head header iframe
 NESTED = OUTSIDE | frozenset("article blockquote body center details div dl figure html main ol p section table tbody td th tr ul li".split())
 MAIN = frozenset(["article", "main"])
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer footer header legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget complementary contentinfo search".split())
+LAYOUT = frozenset("area banner bar block body bottom box btn button container content desktop fixed form global group hidden icons inner items left links list main mobile module overlay page panel primary right row secondary section site slot sticky text top unit wrap wrapper".split())
+UNLIKE = frozenset("has is no not with without".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 STOP_WORDS = frozenset(
     # English, German, French, Spanish
@@ -36,11 +46,15 @@ STOP_WORDS = frozenset(
     "al como con de del el ella en es esta este ha la las lo los más me no o para pero por que se ser si sin sobre son su sus un una y ya".split()
 )
 LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 0.15, 0.30, 0.33
+#: Stop words of a page's long blocks below which it is in another language; share of a page's text that no mark rules out.
+KNOWN, MOST = 0.03, 2 / 3
 GOOD, BAD, OPEN, PLACE = "good", "bad", "open", "place"
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|math)\b[^>]*>.*?(?:</(?P=raw)\b[^>]*>|\Z)"
+    r"|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    r"|<(?P<drawn>svg|math)\b[^>]*>(?:.*?</(?P=drawn)\b[^>]*>)?"
+    r"|<(?P<raw>script|style|noscript|template|textarea)\b[^>]*>.*?(?:</(?P=raw)\b[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*|[^>]*)>"
     r"|<[!?/][^>]*>",
     re.I | re.S,
@@ -49,30 +63,41 @@ ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^'
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def marks(rest: str) -> frozenset[str]:
-    if "=" not in rest:
-        return frozenset()
-    return frozenset(w for m in ATTRIBUTE.finditer(rest) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
+def marks(rest: str) -> str:
+    """What the classes, id and role of a tag say of its text: comment, bad, weak or nothing."""
+    found = ""
+    if "=" in rest:
+        for m in ATTRIBUTE.finditer(rest):
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                parts = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+                if parts and parts[0] in UNLIKE:
+                    continue
+                if COMMENTS.intersection(parts):
+                    return "comment"
+                if MARKS.intersection(parts):
+                    found = "bad" if found == "bad" or all(w in MARKS or w in LAYOUT or w.isdigit() for w in parts) else "weak"
+    return found
 
 
 class _Page:
-    """Blocks of one page: [text, link characters, region, place is bad]."""
+    """Blocks of one page: [text, link characters, region, marks that make its place bad]."""
 
     def __init__(self):
         self.blocks, self.text, self.linked = [], [], 0
-        self.stack: list[tuple[str, str]] = []  # open elements: name, and main, bad, comment or ""
-        self.regions, self.region, self.link, self.bad = 0, 0, 0, False
+        self.stack: list[tuple[str, str]] = []  # open elements: name, and main, hard, weak, bad with a number, or ""
+        self.regions, self.region, self.marks, self.bad = 0, 0, 0, ()
+        self.link = -1  # how many elements are open outside the link that is open
 
     def place(self) -> None:
         """Where the open elements put the text that follows."""
-        self.region, self.bad = 0, False
+        self.region, self.bad = 0, ()
         hard = False
-        for k, (name, kind) in enumerate(self.stack):
+        for name, kind in self.stack:
             if kind.startswith("main"):
                 if not hard:
-                    self.region, self.bad = int(kind[4:]), False
+                    self.region, self.bad = int(kind[4:]), ()
             elif kind:
-                self.bad = True
+                self.bad += (kind,)
                 hard |= kind == "comment" or name in OUTSIDE
 
     def flush(self) -> None:
@@ -83,14 +108,13 @@ class _Page:
 
     def opened(self, name: str, rest: str) -> None:
         if self.stack and self.stack[-1][0] == "p":  # any block ends a paragraph
-            self.stack.pop()
-            self.place()
+            self.shut(len(self.stack) - 1)
         if name in ("li", "td", "th", "tr"):  # their end tags may be left out
             self.closed(name, ("ul", "ol", "table"))
         if name not in NESTED:
             return
         found = marks(rest)
-        if found & COMMENTS:
+        if found == "comment":
             kind = "comment"
         elif name in MAIN:
             self.regions += 1
@@ -99,22 +123,32 @@ class _Page:
             kind = ""
         elif name == "header" and any(k.startswith("main") for _, k in self.stack):
             kind = ""
+        elif name in OUTSIDE:
+            kind = "tag"
         else:
-            kind = "bad" if name in OUTSIDE or found & MARKS else ""
+            self.marks += 1
+            kind = f"{found}{self.marks}" if found else ""
         self.stack.append((name, kind))
         self.place()
 
+    def shut(self, k: int) -> None:
+        """Close the open elements from the k-th on, and a link that began inside them."""
+        del self.stack[k:]
+        if self.link > k:
+            self.link = -1
+        self.place()
+
     def closed(self, name: str, within: list[str] | tuple = ()) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == name:
-                del self.stack[k:]
-                self.place()
+                self.shut(k)
                 return
             if self.stack[k][0] in within:
                 return
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool]]:
+def blocks(page: str) -> list[tuple[str, int, int, str]]:
+    """Text, link characters, region and place of each block; the place is bad, weak or nothing."""
     p, at = _Page(), 0
     joined: list[str] = []  # pieces of the text at hand that no markup but inline elements parts
 
@@ -122,7 +156,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
         if piece:
             piece = entities.unescape(piece) if "&" in piece else piece
             joined.append(piece)
-            if p.link:
+            if p.link >= 0:
                 p.linked += len(piece.strip())
 
     def part() -> None:
@@ -138,21 +172,37 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
             continue
         if name in INLINE:
             if name == "a":
-                p.link = max(0, p.link - 1) if m["end"] else 1
+                p.link = -1 if m["end"] else len(p.stack)
             continue
         part()
         if name == "br":
             continue
         p.flush()
-        p.link = 0
         if m["end"]:
+            if name not in NESTED and p.link == len(p.stack):
+                p.link = -1  # a heading's end, say, ends a link that was left open in it
             p.closed(name)
         else:
             p.opened(name, m["rest"])
     add(page[at:])
     part()
     p.flush()
-    return p.blocks
+    return [(text, linked, region, worst(bad, overruled)) for overruled in [_overruled(p.blocks)] for text, linked, region, bad in p.blocks]
+
+
+def _overruled(found: list[tuple]) -> set[str]:
+    """Marks of containers that hold most of the page's text."""
+    held: dict[str, int] = {}
+    for text, linked, _, bad in found:
+        for kind in bad:
+            held[kind] = held.get(kind, 0) + len(text) - linked
+    total = sum(len(text) - linked for text, linked, _, _ in found)
+    return {kind for kind, n in held.items() if kind.startswith("bad") and n > MOST * total}
+
+
+def worst(kinds: tuple[str, ...], overruled: set[str]) -> str:
+    kinds = [k for k in kinds if k not in overruled]
+    return "bad" if any(not k.startswith("weak") for k in kinds) else "weak" if kinds else ""
 
 
 def stop_density(text: str) -> float:
@@ -160,27 +210,30 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def first_pass(found: list[tuple[str, int, int, bool]]) -> list[str]:
-    has_main = any(region and not bad for _, _, region, bad in found)
+def first_pass(found: list[tuple[str, int, int, str]]) -> list[str]:
+    has_main = any(region and place != "bad" for _, _, region, place in found)
+    density = [stop_density(text) if len(text) >= LONG else 0.0 for text, _, _, _ in found]
+    spoken = [(d, len(b[0])) for d, b in zip(density, found, strict=True) if len(b[0]) >= LONG and b[3] != "bad"]
+    known = sum(d * n for d, n in spoken) >= KNOWN * sum(n for _, n in spoken)
     labels = []
-    for text, linked, region, bad in found:
-        if bad or has_main and not region:
+    for (text, linked, region, place), d in zip(found, density, strict=True):
+        if place == "bad" or has_main and not region:
             labels.append(PLACE)
         elif linked > LINKS * len(text):
-            labels.append(PLACE if region else BAD)
+            labels.append(PLACE if region or place else BAD)
         elif len(text) < LONG:
-            labels.append(OPEN)
+            labels.append(PLACE if place else OPEN)
+        elif not known or d >= (STOP_LOW if region else STOP_HIGH):
+            labels.append(GOOD)
         else:
-            density = stop_density(text)
-            if density >= (STOP_LOW if region else STOP_HIGH):
-                labels.append(GOOD)
-            else:
-                labels.append(OPEN if region or density >= STOP_LOW else BAD)
+            labels.append(OPEN if region or d >= STOP_LOW else BAD)
     return labels
 
 
-def second_pass(found: list[tuple[str, int, int, bool]], labels: list[str]) -> list[bool]:
+def second_pass(found: list[tuple[str, int, int, str]], labels: list[str]) -> list[bool]:
     """Which blocks belong to the main text."""
+    if GOOD not in labels and BAD not in labels:
+        return [label == OPEN for label in labels]
     far = 1 << 60
     before, after = [(far, None)] * len(found), [(far, None)] * len(found)
     for order, near in ((range(len(found)), before), (range(len(found) - 1, -1, -1), after)):

@@ -129,3 +129,62 @@ def test_odd_pages(spark):
 def test_a_long_page_takes_linear_time():
     text = "<article>" + "<p>word of the day</p><a href='x\">" * 20_000
     assert H.main_text(text) is not None
+
+
+def test_marks_of_places():
+    """Containers of the whole page, compounds, other languages, links around blocks, drawings: none loses the article."""
+    for tag in ("class='content has-sidebar'", "class='layout no-sidebar'", "id='related-work'", "class='modal'"):
+        assert H.main_text(f"<body><div {tag}><p>{LONG}</p><p>{LONG}</p></div></body>") == f"{LONG} {LONG}", tag
+    assert H.main_text(f"<body><div class='cookie-notice'><p>{LONG}</p></div><p>{LONG} End.</p><p>{LONG}</p><p>{LONG}</p></body>") == f"{LONG} End. {LONG} {LONG}"
+    russian = "Это длинный абзац русского текста, в котором достаточно слов и знаков, чтобы считать его содержанием страницы, а не меню."
+    japanese = "これは長い日本語の段落であり、ページの本文として扱われるべき十分な長さを持っています。" * 3
+    for text in (russian, japanese):
+        assert H.main_text(f"<body><ul><li><a href='/'>Home</a></li></ul><p>{text}</p><p>{text}</p></body>") == f"{text} {text}"
+    assert H.main_text("<p>Hello world</p>") == "Hello world"
+    assert H.main_text(f"<body><p>{LONG}</p><a href='/x'><div>{LONG} Card.</div></a></body>") == LONG
+    assert H.main_text(f"<body><article><svg viewBox='0 0 1 1'/><p>{LONG}</p><svg><path d='x'/></svg><p>{LONG}</p></article></body>") == f"{LONG} {LONG}"
+    assert H.main_text(f"<body><article><svg><p>{LONG}</p></article></body>") == LONG
+
+
+def test_second_pass_against_brute_force():
+    """Each undecided block looks outward for the nearest decided ones of its region."""
+    rnd = random.Random(9)
+    for _ in range(400):
+        n = rnd.randrange(1, 14)
+        found = [("x", 0, rnd.randrange(3), "") for _ in range(n)]
+        labels = [rnd.choice([H.GOOD, H.BAD, H.OPEN, H.OPEN, H.PLACE]) for _ in range(n)]
+        want = []
+        for k, label in enumerate(labels):
+            row = [j for j in range(n) if found[j][2] == found[k][2] and labels[j] != H.PLACE]
+            if not {H.GOOD, H.BAD} & set(labels):
+                want.append(label == H.OPEN)
+            elif label != H.OPEN:
+                want.append(label == H.GOOD)
+            else:
+                far = [(abs(row.index(j) - row.index(k)), labels[j]) for j in row if labels[j] in (H.GOOD, H.BAD)]
+                nearest = [x for d, x in far if d == min(far)[0]]
+                want.append(H.GOOD in nearest if nearest else bool(found[k][2]))
+        assert H.second_pass(found, labels) == want
+
+
+def test_first_pass_against_its_rules():
+    """The label of each block follows from place, length, links and stop words, one rule after the other."""
+    rnd = random.Random(10)
+    good, dull = LONG, "Lorem ipsum dolor amet consectetur adipiscing elit sed eiusmod tempor incididunt labore magna aliqua"
+    for _ in range(400):
+        found = [(t, rnd.choice([0, 0, len(t)]), rnd.randrange(2), rnd.choice(["", "", "", "weak", "bad"])) for t in rnd.choices([good, dull, "short"], k=rnd.randrange(1, 9))]
+        long = [b for b in found if len(b[0]) >= H.LONG and b[3] != "bad"]
+        known = sum(H.stop_density(b[0]) * len(b[0]) for b in long) >= H.KNOWN * sum(len(b[0]) for b in long)
+        article = any(b[2] and b[3] != "bad" for b in found)
+        for (text, linked, region, place), label in zip(found, H.first_pass(found), strict=True):
+            if place == "bad" or (article and not region):
+                want = H.PLACE
+            elif linked:
+                want = H.PLACE if region or place else H.BAD
+            elif text == "short":
+                want = H.PLACE if place else H.OPEN
+            elif text == good or not known:
+                want = H.GOOD
+            else:
+                want = H.OPEN if region else H.BAD
+            assert label == want
