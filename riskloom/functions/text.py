@@ -51,9 +51,13 @@ def hits(terms: Column, text: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.contains(text, t)))
 
 
-def lexical_score(query: Column, text: Column) -> Column:
-    """1 if equal, 0.9 if one contains the other, else the share of longer query terms found in the text."""
-    q, t = normalize(query), normalize(text)
+def bound(c: Column, f) -> Column:
+    """f of a column that is computed once, however often f uses it (Catalyst would repeat the expression)."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def normal_score(q: Column, t: Column) -> Column:
+    """`lexical_score` of texts that are normalised already."""
     terms = F.filter(F.split(q, " "), lambda w: F.length(w) >= 3)
     return (
         F.when((q == "") | (t == ""), F.lit(0.0))
@@ -64,16 +68,26 @@ def lexical_score(query: Column, text: Column) -> Column:
     )
 
 
+def lexical_score(query: Column, text: Column) -> Column:
+    """1 if equal, 0.9 if one contains the other, else the share of longer query terms found in the text."""
+    both = F.struct(normalize(query).alias("q"), normalize(text).alias("t"))
+    return bound(both, lambda x: normal_score(x["q"], x["t"]))
+
+
 def objective_score(text: Column, terms: Column) -> Column:
     """The best of lexical score and token overlap over an objective's distinctive terms."""
-    own = content_tokens(text)
 
-    def one(term):
-        words = content_tokens(term)
-        overlap = F.size(F.array_intersect(words, own)) / F.greatest(F.lit(1), F.size(words))
-        return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.greatest(lexical_score(term, text), overlap))
+    def of(x):
+        def one(term):
+            def scored(y):
+                overlap = F.size(F.array_intersect(y["words"], x["own"])) / F.greatest(F.lit(1), F.size(y["words"]))
+                return F.when(F.size(y["words"]) == 0, F.lit(0.0)).otherwise(F.greatest(normal_score(y["q"], x["t"]), overlap))
+
+            return bound(F.struct(content_tokens(term).alias("words"), normalize(term).alias("q")), scored)
+
+        return F.when(x["t"] == "", F.lit(0.0)).otherwise(F.coalesce(F.array_max(F.transform(terms, one)), F.lit(0.0)))
 
-    return F.when(normalize(text) == "", F.lit(0.0)).otherwise(F.coalesce(F.array_max(F.transform(terms, one)), F.lit(0.0)))
+    return bound(F.struct(normalize(text).alias("t"), content_tokens(text).alias("own")), of)
 
 
 def stable_id(prefix: str, *parts: Column, length: int = 16) -> Column:

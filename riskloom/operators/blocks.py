@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.dates import PATTERNS
+from riskloom.functions.text import stable_id
 
 DATE_HINTS = "date|time|year|month|period"
 EMPTY = ["nan", "nat", "none", "null"]
@@ -66,19 +68,34 @@ def infer_frequency(dates: DataFrame, date: str) -> DataFrame:
 
 
 def paragraph_spans(docs: DataFrame, id_col: str, text_col: str, least: int = 3) -> DataFrame:
-    """id, paragraph_id, start_char, end_char, text: non-empty lines of at least `least` characters once trimmed."""
-    lines = F.transform(F.split(F.col(text_col), "\n", -1), lambda t: F.struct(t.alias("line"), F.char_length(t).alias("n")))
-    # a running sum inside the array gives each line's offset
-    placed = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line:string,start:int>>").alias("out")),
-        lambda s, x: F.struct((s["at"] + x["n"] + 1).alias("at"), F.concat(s["out"], F.array(F.struct(x["line"].alias("line"), s["at"].alias("start")))).alias("out")),
-        lambda s: s["out"],
-    )
-    kept = F.filter(placed, lambda p: F.char_length(F.regexp_replace(p["line"], r"^\s+|\s+$", "")) >= least)
-    rows = docs.select(id_col, F.posexplode(kept).alias("paragraph_id", "p"))
-    line = F.col("p.line")
-    return rows.select(id_col, "paragraph_id", F.col("p.start").alias("start_char"), (F.col("p.start") + F.char_length(line)).alias("end_char"), F.regexp_replace(line, r"^\s+|\s+$", "").alias("text"))
+    """id, paragraph_id, start_char, end_char, text: non-empty lines of at least `least` characters once trimmed.
+
+    Offsets are running sums over a text's lines; on Arrow batches they take one pass, however many
+    lines there are, and no shuffle. A null text has no paragraphs.
+    """
+    import pyarrow.compute as pc
+
+    names = [id_col, "paragraph_id", "start_char", "end_char", "text"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lines = pc.split_pattern(part.column(1).cast(pa.large_string()), "\n")
+                flat, parent = lines.flatten(), pc.list_parent_indices(lines).to_numpy()
+                n = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+                begin = np.cumsum(n + 1) - (n + 1)
+                first = np.searchsorted(parent, parent)  # where the text of each line begins
+                start = begin - begin[first] if len(n) else begin
+                trimmed = pc.utf8_trim(flat, " \t\n\x0b\f\r")
+                keep = np.flatnonzero(pc.utf8_length(trimmed).to_numpy(zero_copy_only=False) >= least)
+                number = np.arange(len(keep)) - np.searchsorted(parent[keep], parent[keep])
+                ids = part.column(0).take(pa.array(parent[keep]))
+                columns = [ids, pa.array(number, pa.int32()), pa.array(start[keep], pa.int32()), pa.array((start + n)[keep], pa.int32()), trimmed.take(pa.array(keep)).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, paragraph_id int, start_char int, end_char int, text string")
 
 
 def chunk_ranges(paragraphs: DataFrame, id_col: str, size: int = 4) -> DataFrame:
@@ -121,3 +138,108 @@ def within_budget(blocks: DataFrame, by: str, order: str, text: str, per_block:
     run = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     used = cut.withColumns({"__used": F.sum(F.char_length(text)).over(run), "__k": F.row_number().over(Window.partitionBy(by).orderBy(order))})
     return used.filter((F.col("__used") <= total) | (F.col("__k") == 1)).drop("__used", "__k")
+
+
+# ---------------------------------------------------------------- blocks of tables and series
+
+#: Rows of a table and of a series that stand in its text.
+TABLE_ROWS, SERIES_ROWS = 20, 10
+
+
+def detect_time_series(df: DataFrame, order: str) -> DataFrame:
+    """No row, or one: date_column, value_columns, start_date, end_date, frequency of a table that is a series.
+
+    The first column that looks like a date and all that look numeric make it; two dates are needed.
+    """
+    schema = infer_schema(df, order)
+    picked = schema.agg(F.min(F.when(F.col("semantic_type") == "date", F.struct("position", "column"))).alias("d"), F.array_sort(F.collect_list(F.when(F.col("semantic_type") == "numeric", F.struct("position", "column")))).alias("v"))
+    cells = F.array(*(F.struct(F.lit(n).alias("c"), date_like(F.col(f"`{n}`")).alias("day")) for n in df.columns if n != order))
+    days = df.select(F.explode(cells).alias("x")).select("x.c", "x.day").filter("day IS NOT NULL")
+    days = days.join(F.broadcast(picked.select(F.col("d.column").alias("c"))), "c", "left_semi")
+    span = days.agg(F.count("*").alias("n"), F.min("day").alias("start_date"), F.max("day").alias("end_date"))
+    one = picked.join(F.broadcast(span)).filter(F.col("d").isNotNull() & (F.size("v") > 0) & (F.col("n") >= 2))
+    return one.join(F.broadcast(infer_frequency(days, "day"))).select(F.col("d.column").alias("date_column"), F.transform("v", lambda x: x["column"]).alias("value_columns"), "start_date", "end_date", "frequency")
+
+
+def row_text(columns: list[str]) -> Column:
+    """A row's cells as `name: value; ...`."""
+    return F.concat_ws("; ", *(F.concat(F.lit(f"{n}: "), F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("None"))) for n in columns))
+
+
+def first_rows(df: DataFrame, order: str, columns: list[str], most: int, label: str) -> DataFrame:
+    """One row: `lines`, the first rows as text, and `total`, how many there are."""
+    top = df.orderBy(order).limit(most).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row_text(columns).alias("t")))).alias("rows"))
+    lines = F.transform("rows", lambda x, i: F.concat(F.lit(f"{label} "), (i + 1).cast("string"), F.lit(": "), x["t"]))
+    return top.select(lines.alias("lines")).join(F.broadcast(df.agg(F.count("*").alias("total"))))
+
+
+def table_block(df: DataFrame, order: str, document: str, caption: str = "") -> DataFrame:
+    """A table as one block: block_id, block_type, document_id, caption, row_count, column_schema, text. Nothing for an empty table."""
+    columns = [n for n in df.columns if n != order]
+    schema = infer_schema(df, order).select(F.struct("position", "column", "semantic_type").alias("s")).agg(F.array_sort(F.collect_list("s")).alias("schema"))
+    rows = first_rows(df, order, columns, TABLE_ROWS, "Row").filter("total > 0").join(F.broadcast(schema))
+    typed = F.concat(F.lit("Column schema: "), F.array_join(F.transform("schema", lambda s: F.concat(s["column"], F.lit("="), s["semantic_type"])), "; "))
+    more = F.when(F.col("total") > TABLE_ROWS, F.array(F.concat(F.lit("... "), (F.col("total") - TABLE_ROWS).cast("string"), F.lit(" additional rows omitted")))).otherwise(F.array().cast("array<string>"))
+    head = ([F.lit(f"Table caption: {caption}")] if caption else []) + [F.lit("Columns: " + ", ".join(columns)), F.concat(F.lit("Row count: "), F.col("total").cast("string")), typed]
+    text = F.array_join(F.concat(F.array(*head), F.col("lines"), more), "\n")
+    return rows.select(
+        stable_id("blk_", F.lit(document), F.lit("table"), F.lit(caption), F.lit(",".join(columns)), F.col("total")).alias("block_id"), F.lit("table").alias("block_type"), F.lit(document).alias("document_id"), F.lit(caption).alias("caption"),
+        F.col("total").alias("row_count"), F.array_join(F.transform("schema", lambda s: F.concat(s["column"], F.lit("="), s["semantic_type"])), ";").alias("column_schema"), text.alias("text"),
+    )
+
+
+def series_block(df: DataFrame, order: str, document: str, instrument: str = "tabular_time_series") -> DataFrame:
+    """The series that a table holds as one block, or nothing: block_id, block_type, document_id, instrument, dates, frequency, text."""
+    columns = [n for n in df.columns if n != order]
+    found = detect_time_series(df, order)
+    rows = found.join(F.broadcast(first_rows(df, order, columns, SERIES_ROWS, "Observation")))
+    fields = F.concat(F.array("date_column"), F.col("value_columns"))
+    head = F.array(
+        F.lit(f"Time series instrument: {instrument}"), F.concat(F.lit("Fields: "), F.array_join(fields, ", ")), F.concat(F.lit("Date field: "), F.col("date_column")),
+        F.concat(F.lit("Value fields: "), F.array_join("value_columns", ", ")), F.concat(F.lit("Frequency: "), F.col("frequency")), F.concat(F.lit("Date range: "), F.col("start_date").cast("string"), F.lit(" to "), F.col("end_date").cast("string")),
+    )
+    more = F.when(F.col("total") > SERIES_ROWS, F.array(F.concat(F.lit("... "), (F.col("total") - SERIES_ROWS).cast("string"), F.lit(" additional observations omitted")))).otherwise(F.array().cast("array<string>"))
+    text = F.array_join(F.concat(F.filter(head, lambda x: x.isNotNull()), F.col("lines"), more), "\n")
+    return rows.select(
+        stable_id("blk_", F.lit(document), F.lit("time_series"), F.col("date_column"), F.array_join("value_columns", ","), F.col("total")).alias("block_id"), F.lit("time_series").alias("block_type"), F.lit(document).alias("document_id"),
+        F.lit(instrument).alias("instrument"), "date_column", "value_columns", "start_date", "end_date", "frequency", F.col("total").alias("observation_count"), text.alias("text"),
+    )
+
+
+def table_blocks(df: DataFrame, order: str, document: str, caption: str = "") -> DataFrame:
+    """block_id, block_type, document_id, text: the table's block, and its series' if it is one."""
+    keep = ["block_id", "block_type", "document_id", "text"]
+    return table_block(df, order, document, caption).select(keep).unionByName(series_block(df, order, document, caption or "tabular_time_series").select(keep))
+
+
+def chart_text(title: Column, description: Column, data: Column, image: Column) -> Column:
+    """A chart's parts as lines; those that are empty are left out."""
+    line = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), c))
+    return F.concat_ws("\n", line("Chart title", title), line("Description", description), line("Extracted data", data), line("Image reference", image))
+
+
+def payload(blocks: DataFrame, most: int) -> DataFrame:
+    """evidence_id, block_type, document_id, text (cut), truncated: what a prompt gets of each block."""
+    return blocks.select(F.col("block_id").alias("evidence_id"), "block_type", "document_id", F.substring("text", 1, most).alias("text"), (F.char_length("text") > most).alias("truncated"))
+
+
+def manifest(blocks: DataFrame) -> DataFrame:
+    """evidence_id, document_id, block_type: one row per block, without its text."""
+    return blocks.select(F.col("block_id").alias("evidence_id"), "document_id", "block_type").dropDuplicates(["evidence_id"])
+
+
+def with_text(evidence: DataFrame, url: str) -> DataFrame:
+    """Evidence whose text is more than blanks, trimmed, with the given URL where it has none."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    return evidence.withColumns({"text": text, "source_url": F.coalesce(F.nullif(F.col("source_url"), F.lit("")), F.lit(url))}).filter("text <> ''")
+
+
+def tiles(ranges: DataFrame, totals: DataFrame, id_col: str) -> DataFrame:
+    """id, problem: null where ranges (id, start_paragraph, end_paragraph) cover a document's paragraphs once and in order."""
+    before = F.lag("end_paragraph").over(Window.partitionBy(id_col).orderBy("start_paragraph", "end_paragraph"))
+    rows = ranges.withColumn("gap", F.col("start_paragraph") != F.coalesce(before + 1, F.lit(0))).join(totals.select(id_col, "paragraphs"), id_col)
+    out = (F.col("start_paragraph") < 0) | (F.col("start_paragraph") > F.col("end_paragraph")) | (F.col("end_paragraph") >= F.col("paragraphs"))
+    rows = rows.groupBy(id_col).agg(F.max(out).alias("out"), F.max("gap").alias("gap"), (F.max("end_paragraph") + 1 != F.max("paragraphs")).alias("short"))
+    problem = F.when(F.col("out"), F.lit("out of bounds")).when(F.col("gap"), F.lit("not contiguous")).when(F.col("short"), F.lit("not covered"))
+    every = totals.select(id_col, "paragraphs").join(rows, id_col, "left")
+    return every.select(id_col, F.when(F.col("out").isNull() & (F.col("paragraphs") > 0), F.lit("not covered")).otherwise(problem).alias("problem"))

@@ -119,7 +119,7 @@ def upsert_nodes(versions: DataFrame) -> DataFrame:
         F.coalesce(first("entity_type", F.col("entity_type") != "unknown"), F.lit("unknown")).alias("entity_type"),
         first("description", F.trim("description") != "").alias("description"),
         F.max_by("properties", "seq").alias("properties"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("labels"),
         F.count("*").alias("versions"),
     )
 
@@ -129,7 +129,7 @@ def upsert_edges(versions: DataFrame) -> DataFrame:
     return versions.groupBy("edge_key").agg(
         F.max("grounding_score").alias("grounding_score"),
         F.min_by("description", F.when(F.trim("description") != "", F.col("seq"))).alias("description"),
-        F.array_sort(F.array_distinct(F.collect_list("evidence_id"))).alias("evidence_ids"),
+        F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"),
         F.count("*").alias("versions"),
     )
 

@@ -43,20 +43,31 @@ def table_summary(df: DataFrame, share: float = 0.6) -> DataFrame:
     return out.select("column", "position", "row_count", "missing", (F.col("numbers") >= need).alias("is_numeric"), (F.col("dates") >= need).alias("is_date"))
 
 
+#: Values that the exact median sorts in one task at most, unless so many are equal; the sketch's accuracy and margin.
+SORTED, ACCURACY, MARGIN = 100_000, 10_000, 0.001
+
+
 def exact_median(df: DataFrame, value: Column) -> float | None:
-    """The median without one task holding all values: sketch a bracket, count below it, sort inside."""
+    """The median without one task holding all values: a bracket, narrowed by sketches until few values are inside.
+
+    A sketch misplaces a rank by 1/ACCURACY of the rows at most, which is less than MARGIN, so the
+    median never leaves the bracket.
+    """
     rows = df.select(value.alias("v")).filter("v IS NOT NULL")
-    n, low, high = rows.agg(F.count("*"), F.percentile_approx("v", 0.499, 10_000), F.percentile_approx("v", 0.501, 10_000)).first()
+    n = rows.count()
     if not n:
         return None
-    low, high = min(low, high), max(low, high)
-    below, inside = rows.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
     first, last = (n - 1) // 2, n // 2
-    if below > first or last >= below + inside:  # the sketch missed; its error bound makes this rare
-        low, below = float("-inf"), 0
-        high = float("inf")
+    kept, below, inside = rows, 0, n
+    while inside > SORTED:
+        at = [max(0.0, (first - below) / inside - MARGIN), min(1.0, (last - below) / inside + MARGIN)]
+        low, high = kept.agg(F.percentile_approx("v", at, ACCURACY)).first()[0]
+        lower, within = kept.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        if within == inside:  # equal values, which are folded below
+            break
+        kept, below, inside = rows.filter(F.col("v").between(low, high)), below + lower, within
     # equal values are folded first, so the sort holds distinct values of the bracket only
-    counts = rows.filter(F.col("v").between(low, high)).groupBy("v").agg(F.count("*").alias("n"))
+    counts = kept.groupBy("v").agg(F.count("*").alias("n"))
     order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     upto = counts.withColumn("upto", F.sum("n").over(order) + below)
     pair = upto.agg(F.min(F.when(F.col("upto") > first, F.col("v"))), F.min(F.when(F.col("upto") > last, F.col("v")))).first()

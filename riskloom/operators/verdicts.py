@@ -58,13 +58,17 @@ def aggregate(verdicts: DataFrame, candidate: str, order: str) -> DataFrame:
     """
     rank = F.struct(look_up(DECISION_RANK, F.col("decision"), 0).alias("d"), look_up(SUPPORT_RANK, F.col("support"), 0).alias("s"), F.col("grounding_score"), (-F.col(order)).alias("o"))
     supporting = F.col("decision").isin("accept", "coarsen")
-    row = F.struct(F.col(order).alias("o"), F.col("evidence_id").cast("string").alias("e"))
-    grouped = verdicts.groupBy(candidate).agg(
-        F.max(F.struct(rank.alias("r"), "decision", "support", "grounding_score")).alias("best"),
-        F.array_sort(F.collect_list(F.when(supporting, row))).alias("good"),
-        F.array_sort(F.collect_list(row)).alias("every"),
-        F.count("*").alias("verdicts"),
-    )
-    pool = F.when(F.size("good") > 0, F.col("good")).otherwise(F.col("every"))
-    ids = F.array_distinct(F.filter(F.transform(pool, lambda r: r["e"]), lambda e: e.isNotNull()))
-    return grouped.select(candidate, F.col("best.decision").alias("decision"), F.col("best.support").alias("support"), F.col("best.grounding_score").alias("grounding_score"), ids.alias("evidence_ids"), "verdicts")
+    grouped = verdicts.groupBy(candidate).agg(F.max(F.struct(rank.alias("r"), "decision", "support", "grounding_score")).alias("best"), F.count_if(supporting).alias("good"), F.count("*").alias("verdicts"))
+    # an id counts where it stands first, so lists hold distinct ids only
+    first = verdicts.filter("evidence_id IS NOT NULL").groupBy(candidate, F.col("evidence_id").cast("string").alias("e")).agg(F.min(order).alias("every"), F.min(F.when(supporting, F.col(order))).alias("good"))
+    listed = lambda at: F.transform(F.array_sort(F.collect_list(F.when(F.col(at).isNotNull(), F.struct(at, "e")))), lambda r: r["e"])
+    ids = first.groupBy(candidate).agg(listed("good").alias("good_ids"), listed("every").alias("every_ids"))
+    pool = F.coalesce(F.when(F.col("good") > 0, F.col("good_ids")).otherwise(F.col("every_ids")), F.array().cast("array<string>"))
+    out = grouped.join(ids, grouped[candidate].eqNullSafe(ids[candidate]), "left").select(grouped[candidate], "best", pool.alias("evidence_ids"), "verdicts")
+    return out.select(candidate, F.col("best.decision").alias("decision"), F.col("best.support").alias("support"), F.col("best.grounding_score").alias("grounding_score"), "evidence_ids", "verdicts")
+
+
+def fallback(reason: Column, support: str = "ambiguous") -> dict[str, Column]:
+    """The verdict on a candidate that could not be judged: rejected, with the score that follows from its status."""
+    status = {f: F.lit(support if f == "support" else d) for f, d in DEFAULTS.items()}
+    return {"decision": F.lit("reject"), **status, "grounding_score": grounding_score(status, F.lit("reject")), "reason": reason}
