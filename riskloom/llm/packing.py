@@ -9,7 +9,8 @@ first, cut where a window is full. A group's last window is cut into powers of t
 no padding.
 
 Defined results: a null text is empty and holds only the end id; a text of any length is cut
-into pieces; equal rows are packed each on their own; an empty table gives no rows.
+into pieces; equal rows are packed each on their own, null ids too; an empty table gives no rows. Only the id and the text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ CLASSES, DEPTH = 64, 3
 #: A group is packed when it holds so many ids: bounds a task's memory.
 GROUP_IDS = 8_000_000
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
 @lru_cache
@@ -162,12 +163,12 @@ class _Packer:
         n, size = len(ids) // 4, self.window
         whole = n // size * size
         for start in range(0, whole, size):
-            self.rows.append((doc_id, start, size, zlib.crc32(ids[start * 4 : (start + size) * 4]), n, self.next, 0))
+            self.rows.append((doc_id, start, size, n, self.next, 0, ids[start * 4 : (start + size) * 4]))
             self.next += 1
         if whole < n:
             self.docs.append((doc_id, whole, n))
             self.rests.append(ids[whole * 4 :])
-        self.held += n - whole
+        self.held += n
 
     def flush(self) -> pa.RecordBatch:
         rows = self.rows
@@ -176,17 +177,20 @@ class _Packer:
                 offset = 0
                 for i, start, length in w:
                     doc_id, whole, n = self.docs[i]
-                    rows.append((doc_id, whole + start, length, zlib.crc32(self.rests[i][start * 4 : (start + length) * 4]), n, self.next, offset))
+                    rows.append((doc_id, whole + start, length, n, self.next, offset, self.rests[i][start * 4 : (start + length) * 4]))
                     offset += length
                 self.next += 1
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), names)
+        doc, start, length, total, sequence, offset, ids = zip(*rows, strict=True) if rows else [[]] * 7
+        ends = np.concatenate([[0], np.cumsum(np.array(length, np.int64))])
+        tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        columns = [pa.array(c, pa.int64()) for c in (doc, start, length, [zlib.crc32(x) for x in ids], total, sequence, offset)]
+        out = pa.RecordBatch.from_arrays([*columns, tokens], [c.split()[0] for c in SCHEMA.split(", ")])
         self.clear()
         return out
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the piece's ids."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -198,7 +202,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id
         for batch in text_batches(batches):
             for i, ids in zip(batch.column(0).to_pylist(), bpe.encode_batch(batch.column(1)), strict=True):
                 packer.add(i, ids.tobytes() + end)
-            if packer.held >= GROUP_IDS or len(packer.rows) >= 100_000:
+            if packer.held >= GROUP_IDS:
                 yield packer.flush()
         yield packer.flush()
 

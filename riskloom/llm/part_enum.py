@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.bytebpe import text_batches
-from riskloom.llm.common import free, stash
+from riskloom.llm.common import broadcast_if_small, free, stash, unused
 from riskloom.llm.components import components
 from riskloom.llm.shingles import U, _PLACES, fingerprints, mix, shingle_sets
 
@@ -647,3 +647,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = named.join(least, "component").select("id", "n_shingles", F.col("least").alias("component_id"))
     alone = rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     return named.unionByName(alone).withColumnRenamed("id", id_col)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group of similar texts the one with the smallest id.
+
+    Null ids come last, and of rows with one id the first read stays. Texts without words all stay.
+    Rows are written with a number first, which names them whatever ids repeat or are null.
+    """
+    row = unused(docs, "row")
+    numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = stash(similar_groups(numbered, row, text_col, size, threshold).select(F.col(row).alias("row"), "component_id"), "groups")
+    crowded = groups.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id")
+    ids = numbered.select(F.col(row).alias("row"), F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row")).alias("rank"))
+    members = stash(groups.join(crowded, "component_id").join(ids, "row"), "members")
+    best = members.groupBy("component_id").agg(F.min("rank").alias("best"))
+    gone = stash(members.join(best, "component_id").filter(F.col("row") != F.col("best.row")).select(F.col("row").alias(row)), "gone")
+    free(groups, members)
+    return numbered.join(broadcast_if_small(gone, gone.count(), 16), row, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])

@@ -69,7 +69,7 @@ def op8_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).drop("ids")
 
 
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ archives of lost tasks are named nowhere and never read. Reading an archive back
 its captures sorted by URL key, time and id, in a file of small row groups. Runs are merged by
 loser trees: splitters taken from the runs cut the key space into ranges, and a task merges one
 range of up to FAN_IN runs, reading only the row groups that meet it. More runs than that are
-merged in several passes. Ranges in order are the global capture histories; a hot URL is cut
+merged in several passes; which files a job reads is named by a table of runs and by file names, so the
+driver holds no more than RANGES splitters, however many runs there are. Ranges in order are the global capture histories; a hot URL is cut
 like anything else, as the time and the id belong to the key.
 
 Of records with equal payloads of at least `least` bytes the one with the largest id is stored
@@ -13,7 +14,8 @@ whole; the others become revisits that refer to it.
 
 Defined results: a null html is the empty payload; a null URL has the empty key; a null id
 is written as such and sorts first; rows repeated with their id are responses all of them; an
-empty table gives no rows.
+empty table gives no rows. Pages of any length are one record each. Only the columns named are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,14 +33,16 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import scratch_path, spread, stash
+from riskloom.llm.common import BROADCAST_BYTES, free, scratch_path, spread, stash
 
 ARCHIVE_BYTES = 64 << 20
 FAN_IN = 64
 GROUP_ROWS = 4096
 RANGE_ROWS = 200_000
-#: Splitters are chosen from about so many keys, and from one for each run at least.
-SAMPLES = 50_000
+#: Splitters are chosen from about so many keys; there are so many ranges at most.
+SAMPLES, RANGES = 50_000, 1 << 16
+#: Digests on more than this share of the pages are decided before any shuffle.
+SUPPORT = 1 / 2000
 NAMES = ["url_key", "captured", "page_id", "record_type", "payload_digest", "payload_bytes", "refers_to", "archive", "offset"]
 SCHEMA = "url_key string, captured long, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, archive string, offset long"
 ARROW = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (c.split() for c in SCHEMA.split(", "))])
@@ -125,6 +129,24 @@ def parse(content: bytes) -> dict:
     return {"type": fields["WARC-Type"], "id": number("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "captured": int(when.timestamp()), "digest": named, "bytes": size, "refers_to": number("WARC-Refers-To")}
 
 
+def with_winners(source: DataFrame, winners: DataFrame) -> DataFrame:
+    """source with winner, by its sha; winners: sha, winner, n.
+
+    Few winners are broadcast, and no page is shuffled. Of many, those of frequent digests still are,
+    and the pages of all others meet their winners by sha, decided ones spread evenly.
+    """
+    count, total = winners.agg(F.count("*"), F.sum("n")).first()
+    named = winners.select("sha", "winner")
+    if count * 64 <= BROADCAST_BYTES:
+        return source.join(F.broadcast(named), "sha", "left")
+    frequent = F.col("n") > F.lit(max(1.0, SUPPORT * total))  # fewer than 1/SUPPORT digests
+    hot, rest = winners.filter(frequent).select("sha", F.col("winner").alias("hot")), winners.filter(~frequent)
+    some = source.join(F.broadcast(hot), "sha", "left")
+    key = F.when(F.col("hot").isNull() & F.col("sha").isNotNull(), F.col("sha")).otherwise(F.unhex(F.md5(F.monotonically_increasing_id().cast("string"))))
+    found = some.withColumn("key", key).join(rest.select(F.col("sha").alias("key"), "winner"), "key", "left")
+    return found.withColumn("winner", F.coalesce("hot", "winner")).drop("hot", "key")
+
+
 def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> DataFrame:
     """Archives of all pages in folder; one row per archive: path, n_records.
 
@@ -134,8 +156,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str =
     when = F.coalesce(F.col(time_col or id_col).cast("long"), F.lit(0))
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.greatest(F.lit(0), F.least(when, F.lit(253_402_300_799))).alias("captured"))
     source = source.withColumn("sha", F.when(F.octet_length("html") >= least, F.unhex(F.sha1("html"))))
-    largest = source.filter(F.col("sha").isNotNull()).groupBy("sha").agg(F.max("id").alias("winner"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    decided = source.join(largest, "sha", "left")
+    repeated = source.filter(F.col("sha").isNotNull()).select("sha", "id").groupBy("sha").agg(F.max("id").alias("winner"), F.count("*").alias("n")).filter("n > 1")
+    decided = with_winners(source, stash(repeated, "winners"))
     refers = F.when(~F.col("winner").eqNullSafe(F.col("id")), F.col("winner"))
 
     def run(batches):
@@ -260,46 +282,92 @@ def chunked(rows: Iterator[tuple], size: int = GROUP_ROWS) -> Iterator[list[tupl
         yield held
 
 
-def merge_runs(spark: SparkSession, runs: DataFrame, folder: str, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """All captures in global order: partitions are consecutive ranges, each in order."""
-    listed = [(r.path, r.n_rows) for r in runs.select("path", "n_rows").orderBy("path").toLocalIterator()]
-    total = sum(n for _, n in listed)
-    share = max(1, SAMPLES // max(1, len(listed)))
-    every = max(1, 64 // share)
-    sample = runs.select(F.explode(F.filter("keys", lambda _, i: i % every == 0)).alias("k"))
+def splitters(runs: DataFrame, total: int, range_rows: int) -> list[tuple]:
+    """Keys that cut the captures into about equal ranges, from a bounded sample of the runs' keys."""
+    count = runs.count()
+    kept = runs if count <= SAMPLES else runs.filter(F.pmod(F.xxhash64("path"), F.lit(count // SAMPLES + 1)) == 0)
+    every = max(1, 64 * min(count, SAMPLES) // SAMPLES)
+    sample = kept.select(F.explode(F.filter("keys", lambda _, i: i % every == 0)).alias("k"))
     keys = sorted((k[0], int(k[1]), int(k[2]), k[3], int(k[4])) for (k,) in sample.toLocalIterator())
-    n = max(1, min(len(keys), -(-total // range_rows)))
-    cuts = sorted({keys[len(keys) * i // n] for i in range(1, n)})
-    bounds = list(zip([None, *cuts], [*cuts, None], strict=True))
-    level = [[path] * len(bounds) for path, _ in listed]  # of each run, the file that has its part of each range
+    n = max(1, min(len(keys), RANGES, -(-total // range_rows)))
+    return sorted({keys[len(keys) * i // n] for i in range(1, n)})
+
+
+def grouped(files: DataFrame, fan_in: int, tasks: int) -> DataFrame:
+    """job, files: the names in groups of up to fan_in, numbered by the task and the place where they stand."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task, held, k = TaskContext.get().partitionId(), [], 0
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            while len(held) >= fan_in:
+                yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{k}"]), pa.array([held[:fan_in]], pa.list_(pa.string()))], ["job", "files"])
+                held, k = held[fan_in:], k + 1
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{k}"]), pa.array([held], pa.list_(pa.string()))], ["job", "files"])
+
+    return files.repartitionByRange(tasks, "file").sortWithinPartitions("file").mapInArrow(run, "job string, files array<string>")
+
+
+def merge_runs(spark: SparkSession, runs: DataFrame, folder: str, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """All captures in global order: partitions are consecutive ranges, each in order.
+
+    A file is a run's own, or `<pass>/<job>/` with one file for each range. Jobs of one name write
+    the same rows; the first to end names the file.
+    """
+    total, left = runs.agg(F.sum("n_rows"), F.count("*")).first()
+    cuts = splitters(runs, total or 0, range_rows)
+    bounds = spark.sparkContext.broadcast(list(zip([None, *cuts], [*cuts, None], strict=True)))
+    n = len(cuts) + 1
+    files = stash(runs.select(F.col("path").alias("file")), "files")
     step = 0
-    while len(level) > fan_in:
-        groups = [level[i : i + fan_in] for i in range(0, len(level), fan_in)]
+    while left > fan_in:
         target = f"{folder}/pass-{step}"
 
-        def merge_group(batches, groups=groups, target=target):
-            import uuid
-
+        def merge_group(batches, target=target):
             for batch in batches:
-                for job in batch.column(0).to_pylist():
-                    g, r = divmod(job, len(bounds))
-                    path = f"{target}/{job}-{uuid.uuid4().hex}.parquet"
-                    write_run(path, chunked(merged([read_slice(run[r], *bounds[r]) for run in groups[g]])))
-                    yield pa.RecordBatch.from_arrays([pa.array([job], pa.int64()), pa.array([path])], ["job", "path"])
-
-        jobs = len(groups) * len(bounds)
-        done = stash(spark.range(0, jobs, 1, jobs).mapInArrow(merge_group, "job long, path string"), "merged")
-        at = {r.job: r.path for r in done.toLocalIterator()}
-        level = [[at[g * len(bounds) + r] for r in range(len(bounds))] for g in range(len(groups))]
+                for job, names, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    write_run_once(f"{target}/{job}/{r}.parquet", chunked(merged([read_slice(part_of(f, r), *bounds.value[r]) for f in names])))
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{target}/{job}/"])], ["file"])
+
+        jobs = stash(grouped(files, fan_in, max(1, left // (16 * fan_in))), "jobs")
+        every = jobs.select("job", "files", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("r"))
+        done = stash(every.repartition(min(left // fan_in * n + 1, 64 * spread(spark)), "job", "r").mapInArrow(merge_group, "file string"), "merged")
+        free(files, jobs)
+        files = stash(done.distinct(), "files")
+        left = files.count()
         step += 1
+    last = sorted(r.file for r in files.collect())  # fan_in names at most
 
     def merge_range(batches):
         for batch in batches:
             for r in batch.column(0).to_pylist():
-                for rows in chunked(merged([read_slice(run[r], *bounds[r]) for run in level])):
+                for rows in chunked(merged([read_slice(part_of(f, r), *bounds.value[r]) for f in last])):
                     yield to_batch(rows)
 
-    return spark.range(0, len(bounds), 1, len(bounds)).mapInArrow(merge_range, SCHEMA)
+    return spark.range(0, n, 1, n).mapInArrow(merge_range, SCHEMA)
+
+
+def part_of(file: str, r: int) -> str:
+    return f"{file}{r}.parquet" if file.endswith("/") else file
+
+
+def write_run_once(path: str, chunks: Iterator[list[tuple]]) -> None:
+    """Write a run under another name and give it its own at the end, unless another attempt has done so."""
+    import uuid
+
+    disk, place = file_system(path)
+    own = f"{path}.{uuid.uuid4().hex}"
+    write_run(own, chunks)
+    hidden = file_system(own)[1]
+    try:
+        disk.move(hidden, place)
+    except OSError:
+        if disk.get_file_info(place).type.name != "File":
+            raise
+        disk.delete_file(hidden)
 
 
 def capture_histories(pages: DataFrame, least: int = 0, **columns) -> DataFrame:

@@ -54,3 +54,19 @@ def test_deduplicated_repeated_rows_and_null_ids(spark, documents):
         assert out.columns == documents(rows).columns
         got = sorted(((r.doc_id, r.text or "") for r in out.collect()), key=str)
         assert got == sorted([(5, "x y"), (1, "a"), (3, "b  "), (3, "c"), (None, "")], key=str)
+
+
+def test_deduplicated_with_clashing_columns(spark):
+    rows = [(1, "a b", 5, "k"), (2, "ab", 6, "l"), (2, "ab", 6, "l"), (3, "c", 7, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __digest int, `__winner.x` string")
+    out = E.deduplicated(docs)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a b", 5, "k"), (3, "c", 7, "m")]
+
+
+def test_winners_by_join(spark, documents, monkeypatch):
+    """Without broadcasts the same rows stay."""
+    monkeypatch.setattr(E, "BROADCAST_BYTES", 0)
+    rows = [(i, f"t {i % 4}" + " " * (i % 3)) for i in range(40)]
+    got = {r.doc_id for r in E.deduplicated(documents(rows), support=1.0).collect()}
+    assert got == {i for i, keep in ((i, v[0]) for i, v in brute(rows).items()) if i == keep}

@@ -59,3 +59,26 @@ def test_copies_stage_with_repeated_rows_and_null_ids(spark, documents):
 
 def test_stage_order():
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "packing"]
+
+
+def test_near_copies_stage_with_repeated_rows_and_null_ids(spark, documents):
+    """One row of each group stays, whatever ids repeat or are null; texts without words all stay."""
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, base), (7, base + " x"), (7, base + " y"), (3, "q r s t u v"), (3, "q r s t u v"), (None, "a b c d e"), (None, "A B C D E"), (8, None), (8, ""), (9, "z " * 5000)]
+    docs = documents(rows).withColumnRenamed("digest", "__row")
+    out = pipeline.without_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r.doc_id, (r.text or "")[:9]) for r in out.collect()]
+    assert sorted(i for i, t in got if t.startswith("w0")) == [7]
+    assert len(got) == 6 and sorted(str(i) for i, _ in got) == ["3", "7", "8", "8", "9", "None"]
+
+
+def test_nulls_and_long_texts_pass_all_stages(spark, tmp_path):
+    rows, labels = corpus(420)
+    rows += [(5000, None), (5001, ""), (None, "null id " * 9), (5002, "long text of words " * 3000), (5002, "long text of words " * 3000)]
+    write(spark, str(tmp_path), rows, labels)
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in got]
+    assert 5000 in ids and 5001 not in ids and None in ids
+    assert sum(r.length for r in got if r.doc_id == 5002) == next(r.doc_tokens for r in got if r.doc_id == 5002)
+    assert all(len(r.ids) == r.length for r in got)
