@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns a DataFrame that is
 written as Parquet and read back as the next stage's docs. The first three return the columns of
-documents; the last returns pieces of packed sequences. Empty tables pass through all stages.
+documents; the last returns pieces of packed sequences.
+
+Defined results: null texts are empty ones, and empty texts are copies of each other; null and
+repeated ids are ids like others (each row is a document of its own); texts of any length are read
+whole; further columns of any name pass through the first three stages; empty tables pass through all.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm import exact_dedup, packing, part_enum, toxicity
-from riskloom.llm.common import broadcast_if_small, stash, table
+from riskloom.llm.common import stash, table
 from riskloom.llm.queries import vocabulary
 
 
@@ -27,8 +31,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that share three quarters of their word shingles, the one with the smallest id."""
-    gone = stash(part_enum.similar_groups(docs).filter("doc_id <> component_id").select("doc_id"), "gone")
-    return docs.join(broadcast_if_small(gone, gone.count(), 16), "doc_id", "left_anti").select(docs.columns)
+    return part_enum.deduplicated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
