@@ -107,11 +107,14 @@ def _claims(cells: DataFrame) -> DataFrame:
 
 
 def merge(nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One row per node, edge and evidence over all versions: first names and texts stay, gaps are filled, scores rise."""
+    """One row per node, edge and evidence over all versions: first names and texts stay, gaps are filled, scores rise.
+
+    An end of an edge that has no name goes by its key, which any name replaces.
+    """
     first = lambda c, when: F.min_by(c, F.when(when, F.col("seq")))
     given = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
     n = nodes.groupBy("key").agg(
-        first("name", F.col("name").isNotNull()).alias("name"), F.coalesce(first("entity_type", F.col("entity_type") != "unknown"), F.lit("unknown")).alias("entity_type"),
+        F.coalesce(first("name", F.col("name") != F.col("key")), F.col("key")).alias("name"), F.coalesce(first("entity_type", F.col("entity_type") != "unknown"), F.lit("unknown")).alias("entity_type"),
         first("description", given("description")).alias("description"), F.max_by("properties", F.when(F.col("properties").isNotNull(), F.col("seq"))).alias("properties"),
     )
     labels = nodes.select("key", F.explode("labels").alias("label")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("label")).alias("labels"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import analysis, blocks, extraction, local_graph
-from riskloom.plans.catalog import CLAIM_SQL, kg_claims, kg_nodes, pick, pick_sql, query, read
+from riskloom.functions import planning
+from riskloom.operators import analysis, blocks, extraction, fusion, local_graph, retrieval
+from riskloom.plans.catalog import CLAIM_SQL, kg_claims, kg_links, kg_nodes, pick, pick_sql, query, read
 from riskloom.operators import graph
 from riskloom.sources import manifest
+from riskloom.sources.scratch import saved
 
 # ---------------------------------------------------------------- blocks
 
@@ -335,4 +337,170 @@ def batch_run(spark, sf_dir):
     sources = read(spark, sf_dir, "events").select(F.col("user_id").alias("source_id")).distinct()
     done = sources.filter("source_id % 4 = 0").select("source_id", F.lit("acquire").alias("stage"), F.lit("success").alias("status"), F.lit(True).alias("has_output"))
     stages = {"acquire": lambda df: df.withColumn("ok", F.col("source_id") % 4 != 1), "extract": lambda df: df.withColumn("ok", F.col("source_id") % 4 != 2)}
-    return manifest.run_batch(sources, done, stages)
+    return manifest.run_batch(sources, done, stages, save=saved)
+
+
+# ---------------------------------------------------------------- fusion and validation
+
+
+def seen_entities(spark, sf_dir):
+    """Each order line as a version of its part, seen by a run, corpus, branch and source."""
+    k = F.col("l_partkey")
+    return read(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("product::"), k).alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.when(F.col("l_linenumber") > 1, F.concat(F.lit("n"), F.col("l_linenumber"))).alias("canonical_name"),
+        F.lit("product").alias("entity_type"), F.lit(None).cast("string").alias("description"), F.col("l_returnflag").alias("postrag_decision"), (F.col("l_quantity") / 100).alias("grounding_score"),
+        F.concat(F.lit("run"), F.col("l_linenumber")).alias("run_id"), F.col("l_linestatus").alias("corpus_id"), F.col("l_returnflag").alias("branch_id"), F.concat(F.lit("s"), F.col("l_suppkey") % 3).alias("source_id"),
+    )
+
+
+@query("""
+    WITH v AS (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS seq, * FROM lineitem)
+    SELECT 'product::' || l_partkey AS key, arg_min('n' || l_linenumber, seq) FILTER (l_linenumber > 1) AS canonical_name, 'product' AS entity_type, arg_max(l_returnflag, seq) AS postrag_decision, arg_max(l_quantity / 100, seq) AS grounding_score,
+        string_agg(DISTINCT 'run' || l_linenumber, ',' ORDER BY 'run' || l_linenumber) AS run_ids, string_agg(DISTINCT 's' || (l_suppkey % 3), ',' ORDER BY 's' || (l_suppkey % 3)) AS source_ids, arg_max(l_linestatus, seq) AS latest_corpus_id, count(*) AS versions
+    FROM v GROUP BY l_partkey""")
+def fused_entities(spark, sf_dir):
+    out = fusion.merge_entities(seen_entities(spark, sf_dir))
+    return out.select("key", "canonical_name", "entity_type", "postrag_decision", "grounding_score", F.array_join("run_ids", ",").alias("run_ids"), F.array_join("source_ids", ",").alias("source_ids"), "latest_corpus_id", "versions")
+
+
+@query("""
+    WITH v AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL ELSE regexp_replace(url, '[?#].*', '') END AS u, 'src' || (page_id % 9) AS s FROM pages), k AS (SELECT coalesce(u, 'id:' || s) AS source_key, * FROM v)
+    SELECT source_key, arg_min(s, page_id) AS first_source_id, CASE WHEN max(page_id) % 2 = 0 THEN 't' || max(page_id) END AS title, string_agg(DISTINCT s, ',' ORDER BY s) AS source_ids, count(*) AS versions FROM k GROUP BY 1""")
+def fused_sources(spark, sf_dir):
+    k = F.col("page_id")
+    none = F.lit(None).cast("string")
+    rows = read(spark, sf_dir, "pages").select(
+        k.alias("seq"), F.when(k % 4 != 0, F.regexp_replace("url", "[?#].*", "")).alias("url"), F.concat(F.lit("src"), k % 9).alias("source_id"), F.when(k % 2 == 0, F.concat(F.lit("t"), k)).alias("title"),
+        none.alias("publisher"), none.alias("published_at"), none.alias("document_id"), F.lit("r").alias("run_id"), F.lit("c").alias("corpus_id"), F.lit("b").alias("branch_id"),
+    )
+    return fusion.merge_sources(rows).select("source_key", "first_source_id", "title", F.array_join("source_ids", ",").alias("source_ids"), "versions")
+
+
+@query("""
+    SELECT 'corpus' AS kind, l_linestatus AS key, NULL AS parent FROM lineitem GROUP BY 2 UNION ALL SELECT 'branch', l_linestatus || '::' || l_returnflag, l_linestatus FROM lineitem GROUP BY 2, 3
+    UNION ALL SELECT DISTINCT 'run', 'run' || l_linenumber, l_linestatus || '::' || l_returnflag FROM lineitem""")
+def fused_scopes(spark, sf_dir):
+    return fusion.scopes(seen_entities(spark, sf_dir))
+
+
+@query("""
+    SELECT p_partkey AS entity, CASE WHEN p_partkey % 5 = 1 THEN 'old' || p_partkey ELSE 'new' || p_partkey END AS resolved_key, CASE WHEN p_partkey % 5 = 1 THEN 'merge_with_existing' ELSE 'create_new' END AS merge_decision,
+        CASE p_partkey % 5 WHEN 0 THEN 'no candidates' WHEN 1 THEN 'same' WHEN 2 THEN 'same' WHEN 3 THEN 'unlike' ELSE 'no valid candidate chosen' END AS merge_reason FROM part""")
+def resolved_entities(spark, sf_dir):
+    """A judge's merges count only where they name a candidate that was shown."""
+    k = F.col("p_partkey")
+    entities = read(spark, sf_dir, "part").select(k.alias("entity"), F.concat(F.lit("new"), k).alias("incoming_key"))
+    part = read(spark, sf_dir, "part").filter("p_partkey % 5 <> 0")
+    candidates = part.select(F.concat(F.lit("new"), k).alias("incoming_key"), F.explode(F.array(F.concat(F.lit("old"), k), F.lit("z"))).alias("key"))
+    decisions = part.filter("p_partkey % 5 <> 4").select(F.concat(F.lit("new"), k).alias("incoming_key"), F.when(k % 5 == 3, "create_new").otherwise("merge_with_existing").alias("decision"), F.concat(F.when(k % 5 == 2, "ghost").otherwise("old"), k).alias("merge_key"), F.when(k % 5 == 3, "unlike").otherwise("same").alias("reason"))
+    return fusion.resolve(entities, candidates, decisions).select("entity", "resolved_key", "merge_decision", "merge_reason")
+
+
+CANDIDATE_SQL = """
+    c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'relation' ELSE 'entity' END AS kind, unnest([doc_id % 40, doc_id % 7 + 100000]) AS evidence_id FROM labels),
+    i AS (SELECT DISTINCT doc_id, kind, evidence_id FROM c JOIN documents d ON d.doc_id = evidence_id)""".replace("JOIN documents d ON d.doc_id = evidence_id", "WHERE evidence_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+
+
+def pointed_candidates(spark, sf_dir):
+    k = F.col("doc_id")
+    candidates = read(spark, sf_dir, "labels").select(F.when(k % 3 == 0, "relation").otherwise("entity").alias("kind"), k.alias("candidate_id"), F.array(k % 40, k % 7 + 100000).alias("evidence_ids"))
+    evidence = read(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(k.alias("evidence_id"))
+    return candidates, evidence
+
+
+@query(f"""
+    WITH {CANDIDATE_SQL}, b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY evidence_id, kind ORDER BY doc_id) - 1) / 3) AS INTEGER) AS batch FROM i)
+    SELECT evidence_id, kind, batch, count(*) AS candidates FROM b GROUP BY ALL UNION ALL SELECT -1, CASE WHEN doc_id % 3 = 0 THEN 'relation' ELSE 'entity' END, -1, count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM i) GROUP BY ALL""")
+def block_batches(spark, sf_dir):
+    """Candidates by the block they point to, in batches of three, and those that point nowhere."""
+    candidates, evidence = pointed_candidates(spark, sf_dir)
+    index, rest = fusion.block_index(candidates, evidence)
+    found = fusion.batches(index, 3).groupBy("evidence_id", "kind", "batch").agg(F.count("*").alias("candidates"))
+    return found.unionByName(rest.groupBy("kind").agg(F.count("*").alias("candidates")).withColumns({"evidence_id": F.lit(-1).cast("long"), "batch": F.lit(-1)}))
+
+
+@query(f"""
+    WITH {CANDIDATE_SQL}, v AS (SELECT evidence_id, kind, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'reject' ELSE 'accept' END AS decision FROM i WHERE doc_id % 4 <> 0)
+    SELECT doc_id AS candidate_id, decision, 'judged' AS how FROM v UNION ALL SELECT doc_id, NULL, 'unresolved' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM v)""")
+def block_verdicts(spark, sf_dir):
+    """Verdicts that were asked for, the last of each; candidates without one are unresolved."""
+    candidates, evidence = pointed_candidates(spark, sf_dir)
+    index, _ = fusion.block_index(candidates, evidence)
+    k = F.col("candidate_id")
+    given = index.filter(k % 4 != 0).withColumns({"seq": F.lit(2), "decision": F.when(k % 5 == 0, "reject").otherwise("accept")})
+    noise = index.withColumns({"seq": F.lit(1), "decision": F.lit("coarsen")}).filter(k % 4 != 0).unionByName(index.withColumns({"evidence_id": F.lit(-5).cast("long"), "seq": F.lit(3), "decision": F.lit("accept")}))
+    judged = fusion.expected_verdicts(index, given.unionByName(noise))
+    return judged.select("candidate_id", "decision", F.lit("judged").alias("how")).unionByName(fusion.unresolved(candidates, judged).select("candidate_id", F.lit(None).cast("string").alias("decision"), F.lit("unresolved").alias("how")))
+
+
+# ---------------------------------------------------------------- questions and retrieval
+
+
+def _words(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _says(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(n, '{w}')" for w in words) + ")"
+
+
+QUESTION = "CASE turn % 4 WHEN 0 THEN 'How does ' || text WHEN 1 THEN 'Explain it' WHEN 2 THEN 'Steel?' ELSE text END"
+NORMAL_SQL = r"trim(regexp_replace(regexp_replace(lower(q), '[''’]s\b', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(rf"""
+    WITH q AS (SELECT conv_id, turn, coalesce({QUESTION}, '') AS q FROM conversations), n AS (SELECT *, {NORMAL_SQL} AS n, regexp_extract_all(q, '([A-Za-z0-9][A-Za-z0-9\-]+)', 1) AS t FROM q),
+    s AS (SELECT *, list_filter(t, lambda x: length(x) >= 3 AND trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) NOT IN ({_words(planning.PLAN_STOP)})) AS u FROM n),
+    d AS (SELECT *, list_filter(u, lambda x, i: list_position(u, x) = i)[1:12] AS terms FROM s), e AS (SELECT *, len(terms) AS k, greatest(1, least(3, len(terms) // 3)) AS e, trim(regexp_replace(q, '\s+', ' ', 'g')) AS flat FROM d),
+    w AS (SELECT *, CASE WHEN length(flat) <= 80 THEN flat ELSE rtrim(substr(flat, 1, 77)) || '...' END AS whole FROM e),
+    p AS (SELECT *, CASE WHEN k > 2 THEN terms[1:e] WHEN k > 0 THEN terms[1:1] ELSE [whole] END AS a, CASE WHEN k > 2 THEN terms[k - e + 1:k] WHEN k > 1 THEN terms[2:2] ELSE [whole] END AS z FROM w)
+    SELECT conv_id, turn, array_to_string(a, ',') AS start, CASE WHEN k > 2 THEN array_to_string(list_filter(terms, lambda x: NOT list_contains(a, x) AND NOT list_contains(z, x))[1:4], ',') ELSE '' END AS bridge, array_to_string(z, ',') AS terminal,
+        CASE WHEN {_says(planning.BACKWARD)} THEN 'backward' WHEN {_says(planning.FORWARD)} THEN 'forward' ELSE 'bidirectional' END AS direction, k >= 4 AS multi_hop FROM p""")
+def question_plans(spark, sf_dir):
+    p = planning.plan(F.expr(QUESTION))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", *(F.array_join(p[c], ",").alias(c) for c in ("start", "bridge", "terminal")), p["direction"].alias("direction"), p["multi_hop"].alias("multi_hop"))
+
+
+@query(rf"""
+    WITH q AS (SELECT conv_id, turn, coalesce({QUESTION}, '') AS q FROM conversations), n AS (SELECT *, {NORMAL_SQL} AS n, regexp_extract_all(lower(q || ' ' || 'Impact of Ore'), '([A-Za-z0-9][A-Za-z0-9\-]+)', 1) AS t FROM q),
+    u AS (SELECT *, list_filter(t, lambda x: length(x) >= 3 AND x NOT IN ({_words(planning.CONCEPT_STOP)})) AS u FROM n)
+    SELECT conv_id, turn, array_to_string(list_filter(u, lambda x, i: list_position(u, x) = i)[1:12], ',') AS concepts, CASE WHEN {_says(planning.CLASSIFY_BACKWARD)} THEN 'backward' WHEN {_says(planning.CLASSIFY_FORWARD)} THEN 'forward' ELSE 'bidirectional' END AS direction FROM u""")
+def question_concepts(spark, sf_dir):
+    q = F.expr(QUESTION)
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(planning.concepts(q, F.lit("Impact of Ore")), ",").alias("concepts"), planning.direction(q).alias("direction"))
+
+
+@query("""
+    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'about ' || p_name ELSE '' END AS terms, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN p_name || ',' || p_brand ELSE '' END AS targets FROM part""")
+def plan_terms(spark, sf_dir):
+    """Distinctive terms of objectives, and targets that the start does not say already."""
+    k, name, brand = F.col("p_partkey"), F.col("p_name"), F.col("p_brand")
+    terms = planning.objective_terms(F.when(k % 3 == 0, F.array(F.lit("the impact"), F.lit(" "), name)).otherwise(F.array(F.lit("risk"))), F.when(k % 3 == 1, F.concat(F.lit("about "), name)).otherwise(F.lit("supply chain")))
+    targets = planning.distinct_targets(F.when(k % 3 == 2, F.array().cast("array<string>")).otherwise(F.array(name, brand)), F.when(k % 3 == 0, F.array(name)).otherwise(F.array(F.lit("nothing"))))
+    return read(spark, sf_dir, "part").select(k, F.array_join(terms, ",").alias("terms"), F.array_join(targets, ",").alias("targets"))
+
+
+@query(f"""
+    WITH {CLAIM_SQL}, l AS (SELECT * FROM c WHERE r = 'located_in'), a AS (SELECT 'region::1' AS key), e1 AS (SELECT claim_key, s, o FROM l WHERE s IN (SELECT key FROM a) OR o IN (SELECT key FROM a)),
+    n1 AS (SELECT key FROM a UNION SELECT s FROM e1 UNION SELECT o FROM e1), e2 AS (SELECT claim_key, s, o FROM l WHERE s IN (SELECT key FROM n1) OR o IN (SELECT key FROM n1)), n2 AS (SELECT key FROM n1 UNION SELECT s FROM e2 UNION SELECT o FROM e2)
+    SELECT 'node' AS kind, key AS name FROM n2 UNION ALL SELECT 'edge', claim_key FROM e2 UNION ALL SELECT 'evidence', claim_key || '#' || evidence_id FROM ev WHERE claim_key IN (SELECT claim_key FROM e2) UNION ALL SELECT 'status', 'partial: rounds spent'""")
+def retrieval_rounds(spark, sf_dir):
+    """Two rounds around a region, within a budget that is not reached."""
+    claims = kg_claims(spark, sf_dir).filter("relation = 'located_in'")
+    anchors = spark.createDataFrame([("region::1",)], "key string")
+    everything = 1 << 40
+    found = retrieval.retrieve(anchors, graph.projection(claims), kg_links(claims), retrieval.Budget(2, 1 << 30, everything, everything, everything), saved)
+    parts = found.nodes.select(F.lit("node").alias("kind"), F.col("key").alias("name")).unionByName(found.edges.select(F.lit("edge").alias("kind"), F.col("claim_key").alias("name")))
+    links = found.links.select(F.lit("evidence").alias("kind"), F.concat("claim_key", F.lit("#"), "evidence_id").alias("name"))
+    return parts.unionByName(links).unionByName(spark.createDataFrame([("status", f"{found.status}: {found.reason}")], "kind string, name string"))
+
+
+@query("""
+    WITH e AS (SELECT lower(trim(p_name)) AS k, arg_min(p_name, p_partkey) AS query, min(p_partkey) AS place FROM part WHERE p_partkey % 4 <> 3 GROUP BY 1)
+    SELECT query, CASE WHEN place % 4 = 0 THEN 'r' ELSE '' END AS reason, 'medium' AS priority FROM e ORDER BY place % 4 <> 0, place LIMIT 7""".replace("min(p_partkey) AS place", "arg_min(p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_partkey ELSE 1000000000 + p_partkey END) AS place").replace("arg_min(p_name, p_partkey)", "arg_min(p_name, CASE WHEN p_partkey % 4 = 0 THEN p_partkey ELSE 1000000000 + p_partkey END)"))
+def acquisition_requests(spark, sf_dir):
+    """Requests of a retrieval, each once, the first seven: a limit of the feature."""
+    k = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").filter("p_partkey % 4 <> 3").select(k.alias("place"), F.concat(F.lit(" "), F.when(k % 4 == 1, F.upper("p_name")).otherwise(F.col("p_name"))).alias("query"), F.when(k % 4 == 0, F.lit(" r ")).alias("reason"), F.lit("").alias("priority"))
+    out = retrieval.merged_requests(rows.filter("place % 4 = 0"), rows.filter("place % 4 <> 0"), 7)
+    return out.withColumn("query", F.lower("query"))
