@@ -111,6 +111,10 @@ class Sample:
         return np.bincount(self.owner, w[: self.width][self.flat], len(self.form)) + dense @ w[self.width :]
 
 
+#: A cut that no probability reaches.
+NEVER = 2.0
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
@@ -145,12 +149,18 @@ def fit(sample: Sample, y: np.ndarray, use: np.ndarray, extra: np.ndarray, round
 
 
 def threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1 of the out-of-fold probabilities; the middle of the gap at which it lies."""
+    """The cut with the best F1 of the out-of-fold probabilities; the middle of the gap at which it lies.
+
+    Only cuts that are right about half of what they reject at least count: where labels are so few
+    that no feature tells anything, the best F1 would reject everything. Without any, nothing is rejected.
+    """
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + max(1.0, y.sum()))
-    ends = np.append(p[order][1:] < p[order][:-1], True)
-    k = int(np.argmax(np.where(ends, f1, -1)))
+    hits, taken = np.cumsum(y[order]), np.arange(1, len(p) + 1)
+    f1 = 2 * hits / (taken + max(1.0, y.sum()))
+    good = np.append(p[order][1:] < p[order][:-1], True) & (2 * hits >= taken)
+    if not good.any():
+        return NEVER
+    k = int(np.argmax(np.where(good, f1, -1)))
     low = p[order][k + 1] if k + 1 < len(p) else 0.0
     return float((p[order][k] + low) / 2)
 

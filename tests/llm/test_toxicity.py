@@ -86,3 +86,11 @@ def test_one_value_only(spark, documents):
     rows, _ = corpus(100)
     model = T.train(documents(rows), label_table(spark, [(i, 1, 0) for i in range(100)]), T.CATEGORIES)
     assert not any(r.toxic for r in T.score(documents(rows), model).collect())
+
+
+def test_labels_that_tell_nothing_reject_nothing():
+    rng = np.random.default_rng(2)
+    p, y = rng.random(60), np.array([1.0] * 8 + [0.0] * 52)
+    p[y > 0] *= 0.3
+    assert T.threshold(p, y) == T.NEVER
+    assert 0.5 < T.threshold(np.array([0.9, 0.8, 0.7, 0.2, 0.1]), np.array([1.0, 1, 0, 0, 0])) < 0.9
