@@ -34,6 +34,18 @@ def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
+def pick(seed: str, values: list[str]):
+    """One of the values, by the remainder of an expression."""
+    out = F.lit(values[-1])
+    for i, v in enumerate(values[:-1]):
+        out = F.when(F.expr(seed) % len(values) == i, F.lit(v)).otherwise(out)
+    return out
+
+
+def pick_sql(seed: str, values: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN ({seed}) % {len(values)} = {i} THEN '{v}'" for i, v in enumerate(values[:-1])) + f" ELSE '{values[-1]}' END"
+
+
 # ---------------------------------------------------------------- tables
 
 
@@ -418,9 +430,17 @@ def manifest_export(spark, sf_dir):
     return registry.manifest(statuses(registered(spark, sf_dir))).select("seq", "canonical_source", "acquisition_status")
 
 
-@query("SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title FROM pages")
+@query("""
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'OG ' || page_id ELSE nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') END AS title,
+        CASE WHEN page_id % 2 = 0 THEN 'A' || page_id END AS author, CASE WHEN page_id % 5 = 0 THEN 'Site' ELSE 'late' END AS publisher, CASE WHEN page_id % 2 = 0 THEN '2024-01-02' END AS published_at, url AS canonical_url FROM pages""")
 def html_metadata(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", web.html_metadata(F.col("html"))["title"].alias("title"))
+    """Meta tags of several names, quotings and orders put before each page's own."""
+    k = F.col("page_id")
+    even = F.when(k % 2 == 0, F.concat(F.lit("<META content='A"), k, F.lit("' name='Author'><meta itemprop=\"date\" content=\"2024-01-02\">"))).otherwise(F.lit('<meta name="author" content="">'))
+    title = F.when(k % 3 == 0, F.concat(F.lit('<meta property="og:title" content=" OG '), k, F.lit('"><meta name="title" content="no">'))).otherwise(F.lit(""))
+    site = F.when(k % 5 == 0, F.lit('<meta name="publisher" content="late"><meta property="og:site_name" content="Site">')).otherwise(F.lit('<meta name="publisher" content="early"><meta name="publisher" content="late">'))
+    found = web.html_metadata(F.concat(even, title, site, F.lit('<meta property="og:url" content="'), F.col("url"), F.lit('">'), F.col("html")))
+    return read(spark, sf_dir, "pages").select(k, *(c.alias(n) for n, c in found.items()))
 
 
 def _contains_any(column: str, words: list[str]) -> str:
@@ -428,20 +448,24 @@ def _contains_any(column: str, words: list[str]) -> str:
 
 
 @query(f"""
-    SELECT page_id, CASE WHEN page_id % 17 = 0 THEN 'blocked' WHEN page_id % 19 = 0 THEN 'not_found' WHEN {_contains_any('html', web.PAYWALL)} THEN 'paywalled'
-        WHEN {_contains_any('html', web.BLOCKED)} THEN 'blocked' ELSE 'acquired' END AS status FROM pages""")
+    WITH t AS (SELECT *, {pick_sql('page_id', ['text/html', 'image/png', 'application/pdf'])} AS mime FROM pages)
+    SELECT page_id, CASE WHEN page_id % 17 = 0 THEN 'blocked' WHEN page_id % 19 = 0 THEN 'not_found' WHEN page_id % 23 = 0 THEN 'fetch_failed' WHEN page_id % 29 = 0 THEN 'paywalled' WHEN mime = 'image/png' AND NOT regexp_matches(lower(url), '\\.(html|htm|pdf|txt|json|csv)$') THEN 'unsupported'
+        WHEN mime <> 'text/html' AND NOT contains(lower(substr(html, 1, 100)), '<html') THEN 'acquired' WHEN {_contains_any('html', web.PAYWALL)} THEN 'paywalled' WHEN {_contains_any('html', web.BLOCKED)} THEN 'blocked' ELSE 'acquired' END AS status FROM t""")
 def fetch_class(spark, sf_dir):
-    code = F.when(F.col("page_id") % 17 == 0, 403).when(F.col("page_id") % 19 == 0, 404).otherwise(200)
-    return read(spark, sf_dir, "pages").select("page_id", web.fetch_class(code, F.lit("text/html"), F.col("url"), F.col("html")).alias("status"))
+    k = F.col("page_id")
+    code = F.when(k % 17 == 0, 403).when(k % 19 == 0, 404).when(k % 23 == 0, F.when(k % 2 == 0, 500)).when(k % 29 == 0, 402).otherwise(200)
+    return read(spark, sf_dir, "pages").select("page_id", web.fetch_class(code, pick("page_id", ["text/html", "image/png", "application/pdf"]), F.col("url"), F.col("html")).alias("status"))
 
 
 @query(f"""
     WITH {URL_SQL}, d AS (SELECT page_id, host, regexp_replace(host, '^www\\.', '') AS h FROM k)
     SELECT page_id, CAST(CASE WHEN h IN ({", ".join(f"'{x}'" for x in web.URL_HIGH)}) THEN 0.92 WHEN regexp_matches(h, '\\.(edu|gov|int|org)$') THEN 0.75 ELSE 0.5 END AS DOUBLE) AS url_score,
-           CAST(0.5 AS DOUBLE) AS registry_score FROM d""")
+           CAST(CASE page_id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 WHEN 2 THEN 0.6 ELSE 0.5 END AS DOUBLE) AS registry_score FROM d""")
 def credibility(spark, sf_dir):
     url = F.col("url")
-    return read(spark, sf_dir, "pages").select("page_id", web.url_credibility(url).alias("url_score"), web.registry_credibility(web.domain(url), F.lit("")).alias("registry_score"))
+    domain = pick("page_id", [web.REGISTRY_HIGH[0], f"data.{web.REGISTRY_MEDIUM[-1]}", "not" + web.REGISTRY_HIGH[0], "example.net"])
+    publisher = F.when(F.col("page_id") % 4 == 2, "Press").otherwise(" ")
+    return read(spark, sf_dir, "pages").select("page_id", web.url_credibility(url).alias("url_score"), web.registry_credibility(domain, publisher).alias("registry_score"))
 
 
 @query("""
@@ -534,13 +558,14 @@ CLAIM_SQL = """
         UNION ALL SELECT 'country::' || n_nationkey, 'located_in', 'region::' || n_regionkey, 'country', 'region', 0.8 FROM nation
         UNION ALL SELECT 'company::' || l_suppkey, 'produces', 'product::' || l_partkey, 'company', 'product', round(max(l_quantity) / 100, 2) FROM lineitem GROUP BY l_suppkey, l_partkey),
     c AS (SELECT s || '|' || r || '|' || o AS claim_key, * FROM cl),
-    ev AS (SELECT claim_key, CAST(('0x' || substr(md5(claim_key), 1, 6)) AS BIGINT) % 200 AS evidence_id FROM c WHERE CAST(('0x' || substr(md5(claim_key), 7, 2)) AS BIGINT) < 128)"""
+    ev AS (SELECT claim_key, CAST(('0x' || substr(md5(claim_key), 1, 6)) AS BIGINT) % (SELECT count(*) FROM documents) AS evidence_id FROM c WHERE CAST(('0x' || substr(md5(claim_key), 7, 2)) AS BIGINT) < 128)"""
 
 
-def kg_links(claims: DataFrame) -> DataFrame:
-    """claim_key, evidence_id: half of the claims have evidence, chosen by their hash."""
+def kg_links(spark, sf_dir, claims: DataFrame) -> DataFrame:
+    """claim_key, evidence_id: half of the claims have a document as evidence, both chosen by their hash."""
     h = lambda at, n: F.conv(F.substring(F.md5("claim_key"), at, n), 16, 10).cast("long")
-    return claims.filter(h(7, 2) < 128).select("claim_key", (h(1, 6) % 200).alias("evidence_id"))
+    total = F.broadcast(read(spark, sf_dir, "documents").agg(F.count("*").alias("total")))  # one row
+    return claims.filter(h(7, 2) < 128).join(total).select("claim_key", (h(1, 6) % F.col("total")).alias("evidence_id"))
 
 
 @query(f"WITH {CLAIM_SQL} SELECT s AS subject_key, r AS relation, o AS object_key, claim_key, g AS grounding_score FROM c")
@@ -549,13 +574,12 @@ def kg_rel_projection(spark, sf_dir):
 
 
 @query(f"""
-    WITH {CLAIM_SQL} SELECT s AS subject_key, o AS object_key, claim_key, ev.evidence_id, length(text) AS evidence_chars FROM c JOIN ev USING (claim_key) JOIN documents ON doc_id = evidence_id
-    WHERE s IN ('company::1', 'company::2', 'company::3')""")
+    WITH {CLAIM_SQL} SELECT s AS subject_key, o AS object_key, claim_key, ev.evidence_id, length(text) AS evidence_chars FROM c JOIN ev USING (claim_key) JOIN documents ON doc_id = evidence_id WHERE s LIKE 'company::%'""")
 def claim_evidence_join(spark, sf_dir):
     claims = kg_claims(spark, sf_dir)
     evidence = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("evidence_id"), F.length("text").alias("evidence_chars"))
-    anchors = spark.createDataFrame([("company::1",), ("company::2",), ("company::3",)], "subject_key string")
-    rows = graph.claim_evidence(graph.projection(claims), claims.withColumn("claim_text", F.col("claim_key")), kg_links(claims), evidence, anchors)
+    anchors = read(spark, sf_dir, "supplier").select(F.concat(F.lit("company::"), "s_suppkey").alias("subject_key"))
+    rows = graph.claim_evidence(graph.projection(claims), claims.withColumn("claim_text", F.col("claim_key")), kg_links(spark, sf_dir, claims), evidence, anchors)
     return rows.select("subject_key", "object_key", "claim_key", "evidence_id", "evidence_chars")
 
 
@@ -569,17 +593,17 @@ FRONTIER_SQL = "('" + "', '".join(FRONTIER) + "')"
 def frontier_one_hop(spark, sf_dir):
     claims = kg_claims(spark, sf_dir)
     keys = spark.createDataFrame([(k,) for k in FRONTIER], "key string")
-    return graph.one_hop(keys, graph.projection(claims), kg_links(claims)).select("from_key", "to_key", "direction", "claim_key", "evidence_id")
+    return graph.one_hop(keys, graph.projection(claims), kg_links(spark, sf_dir, claims)).select("from_key", "to_key", "direction", "claim_key", "evidence_id")
 
 
 @query(f"""
     WITH {CLAIM_SQL}, k AS (SELECT unnest(['{"', '".join(FRONTIER)}']) AS key), ends AS (SELECT s AS key, claim_key FROM c UNION ALL SELECT o, claim_key FROM c)
-    SELECT DISTINCT key, evidence_id FROM k LEFT JOIN ends USING (key) LEFT JOIN ev USING (claim_key)""")
+    SELECT DISTINCT key, evidence_id FROM k LEFT JOIN ends USING (key) LEFT JOIN ev USING (claim_key) WHERE key <> 'country::2' UNION ALL SELECT 'country::2', unnest([900001, 900002])""")
 def frontier_evidence(spark, sf_dir):
     claims = kg_claims(spark, sf_dir)
     keys = spark.createDataFrame([(k,) for k in FRONTIER], "key string")
-    none = spark.createDataFrame([], "node_key string, evidence_id long")
-    return graph.frontier_evidence(keys, none, claims, kg_links(claims))
+    own = spark.createDataFrame([("country::2", 900001), ("country::2", 900002), ("country::9", 900003)], "node_key string, evidence_id long")
+    return graph.frontier_evidence(keys, own, claims, kg_links(spark, sf_dir, claims))
 
 
 @query(f"""
@@ -592,7 +616,7 @@ def paths_depth_1_3(spark, sf_dir):
     return graph.paths(edges, edges.select(F.col("subject_key").alias("key")), 3)
 
 
-@query(f"WITH {CLAIM_SQL} SELECT st AS subject_type, r AS relation, ot AS object_type, count(*) AS n FROM c WHERE NOT (r = 'located_in' AND st = 'company') AND r <> 'produces' GROUP BY ALL")
+@query(f"WITH {CLAIM_SQL} SELECT st AS subject_type, r AS relation, ot AS object_type, count(*) AS n FROM c WHERE (st, r, ot) NOT IN ({', '.join(f"('{a}', '{r}', '{b}')" for r, (x, y) in graph.SIGNATURES.items() for a in x for b in y)}) GROUP BY ALL")
 def signature_violations(spark, sf_dir):
     bad = ~graph.signature_is_valid(F.col("subject_type"), F.col("relation"), F.col("object_type"))
     return kg_claims(spark, sf_dir).filter(bad).groupBy("subject_type", "relation", "object_type").agg(F.count("*").alias("n"))
@@ -617,25 +641,25 @@ def edge_rank(spark, sf_dir):
 @query("""
     WITH v AS (SELECT 'company::' || s_suppkey AS key, s_name AS name, 'unknown' AS t, '' AS d, 0 AS seq, CAST(s_nationkey AS VARCHAR) AS p FROM supplier
                UNION ALL SELECT 'company::' || s_suppkey, upper(s_name), 'company', 'balance ' || CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR), 1, 'x' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)
-    SELECT key, arg_min(name, seq) AS name, coalesce(arg_min(t, seq) FILTER (t <> 'unknown'), 'unknown') AS entity_type, arg_min(d, seq) FILTER (trim(d) <> '') AS description, arg_max(p, seq) AS properties, count(*) AS versions
+    SELECT key, arg_min(name, seq) AS name, coalesce(arg_min(t, seq) FILTER (t <> 'unknown'), 'unknown') AS entity_type, arg_min(d, seq) FILTER (trim(d) <> '') AS description, arg_max(p, seq) AS properties, CASE WHEN count(*) > 1 THEN 'Company,Entity' ELSE 'Entity' END AS labels, count(*) AS versions
     FROM v GROUP BY key""")
 def node_upsert(spark, sf_dir):
     rows = read(spark, sf_dir, "supplier")
     key = F.concat(F.lit("company::"), F.col("s_suppkey"))
     one = rows.select(key.alias("key"), F.col("s_name").alias("name"), F.lit("unknown").alias("entity_type"), F.lit("").alias("description"), F.lit(0).alias("seq"), F.col("s_nationkey").cast("string").alias("properties"), F.array(F.lit("Entity")).alias("labels"))
     two = rows.filter("s_suppkey % 2 = 0").select(key.alias("key"), F.upper("s_name").alias("name"), F.lit("company").alias("entity_type"), F.concat(F.lit("balance "), F.floor("s_acctbal").cast("string")).alias("description"), F.lit(1).alias("seq"), F.concat(F.lit("x"), F.col("s_suppkey")).alias("properties"), F.array(F.lit("Company")).alias("labels"))
-    return graph.upsert_nodes(one.unionByName(two)).drop("labels")
+    return graph.upsert_nodes(one.unionByName(two)).withColumn("labels", F.array_join("labels", ","))
 
 
 @query("""
     WITH v AS (SELECT 'company::' || l_suppkey || '|' || l_returnflag AS edge_key, l_quantity / 100 AS g, CASE WHEN l_linenumber > 1 THEN 'line ' || l_linenumber ELSE '' END AS d, l_orderkey * 10 + l_linenumber AS seq, l_partkey % 7 AS e FROM lineitem)
-    SELECT edge_key, max(g) AS grounding_score, count(DISTINCT e) AS n_evidence, count(*) AS versions FROM v GROUP BY 1""")
+    SELECT edge_key, max(g) AS grounding_score, arg_min(d, seq) FILTER (d <> '') AS description, string_agg(DISTINCT CAST(e AS VARCHAR), ',' ORDER BY CAST(e AS VARCHAR)) AS evidence_ids, count(*) AS versions FROM v GROUP BY 1""")
 def edge_upsert(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("company::"), F.col("l_suppkey"), F.lit("|"), F.col("l_returnflag")).alias("edge_key"), (F.col("l_quantity") / 100).alias("grounding_score"),
         F.when(F.col("l_linenumber") > 1, F.concat(F.lit("line "), F.col("l_linenumber"))).otherwise("").alias("description"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_partkey") % 7).alias("evidence_id"),
     )
-    return graph.upsert_edges(rows).select("edge_key", "grounding_score", F.size("evidence_ids").cast("long").alias("n_evidence"), "versions")
+    return graph.upsert_edges(rows).select("edge_key", "grounding_score", "description", F.array_join("evidence_ids", ",").alias("evidence_ids"), "versions")
 
 
 # ---------------------------------------------------------------- vectors
@@ -684,18 +708,6 @@ def entity_resolution(spark, sf_dir):
 # ---------------------------------------------------------------- verdicts
 
 
-def pick(seed: str, values: list[str]):
-    """One of the values, by the remainder of an expression."""
-    out = F.lit(values[-1])
-    for i, v in enumerate(values[:-1]):
-        out = F.when(F.expr(seed) % len(values) == i, F.lit(v)).otherwise(out)
-    return out
-
-
-def pick_sql(seed: str, values: list[str]) -> str:
-    return "CASE " + " ".join(f"WHEN ({seed}) % {len(values)} = {i} THEN '{v}'" for i, v in enumerate(values[:-1])) + f" ELSE '{values[-1]}' END"
-
-
 FIELDS = {
     "decision": ("doc_id + quality", ["accept", "coarsen", "reject"]),
     "support": ("doc_id", list(verdicts.SUPPORT)),
@@ -736,10 +748,10 @@ RANK_SQL = f"struct_pack(d := {_table_sql('decision', verdicts.DECISION_RANK, 0)
 
 @query(f"""
     WITH {VERDICT_SQL} SELECT candidate, arg_max(decision, {RANK_SQL}) AS decision, arg_max(support, {RANK_SQL}) AS support, arg_max(score, {RANK_SQL}) AS grounding_score, count(*) AS verdicts,
-        CASE WHEN count(*) FILTER (decision <> 'reject') > 0 THEN count(*) FILTER (decision <> 'reject') ELSE count(*) END AS n_evidence FROM v GROUP BY 1""")
+        CASE WHEN count(*) FILTER (decision <> 'reject') > 0 THEN string_agg(doc_id, ',' ORDER BY doc_id) FILTER (decision <> 'reject') ELSE string_agg(doc_id, ',' ORDER BY doc_id) END AS evidence_ids FROM v GROUP BY 1""")
 def verdict_argmax(spark, sf_dir):
     out = verdicts.aggregate(normal_verdicts(spark, sf_dir), "candidate", "doc_id")
-    return out.select("candidate", "decision", "support", "grounding_score", "verdicts", F.size("evidence_ids").cast("long").alias("n_evidence"))
+    return out.select("candidate", "decision", "support", "grounding_score", "verdicts", F.array_join("evidence_ids", ",").alias("evidence_ids"))
 
 
 @query(f"WITH {VERDICT_SQL} SELECT candidate, count(*) AS kept FROM v WHERE decision IN ('accept', 'coarsen') GROUP BY 1")
@@ -796,11 +808,51 @@ def path_select(spark, sf_dir):
     return spark.createDataFrame(rows, "rank int, path string, score double, covered string, status string")
 
 
-@query("""
-    WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS r FROM conversations)
-    SELECT conv_id, count(*) AS turns, CAST(count(*) FILTER (role = 'user') AS INTEGER) AS n_questions, CAST(count(*) FILTER (role = 'assistant') AS INTEGER) AS n_answers FROM t WHERE r <= 5 GROUP BY 1""")
+@query(r"""
+    WITH t AS (SELECT conv_id, role, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS r FROM conversations),
+    q AS (SELECT *, CASE WHEN length(x) <= 300 THEN x ELSE rtrim(substr(x, 1, 297)) || '...' END AS s, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY r) AS u FROM t WHERE r <= 5)
+    SELECT conv_id, count(*) AS turns, CAST(count(*) FILTER (role = 'user') AS INTEGER) AS n_questions, CAST(count(*) FILTER (role = 'assistant') AS INTEGER) AS n_answers,
+        CASE WHEN count(*) FILTER (role = 'user') > 0 THEN 'Prior questions: ' || string_agg(s, '; ' ORDER BY r DESC) FILTER (role = 'user' AND u <= 3) ELSE 'No prior investigation history supplied.' END AS summary FROM q GROUP BY 1""")
 def memory_last5(spark, sf_dir):
-    return memory.last_turns(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").drop("summary")
+    return memory.last_turns(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+# ---------------------------------------------------------------- scopes, budgets and keys
+
+
+@query("SELECT s_suppkey, s_suppkey % 4 < 3 AS inside FROM supplier")
+def scoped_nodes(spark, sf_dir):
+    """In scope by the list, by the latest value or by the single one."""
+    k = F.col("s_suppkey")
+    rows = read(spark, sf_dir, "supplier").select(k, F.when(k % 4 == 0, F.array(F.lit("a"), F.lit("x"))).alias("run_ids"), F.when(k % 4 == 1, "x").alias("latest_run_id"), F.when(k % 4 == 2, "x").otherwise("y").alias("run_id"))
+    return rows.select(k, graph.in_scope("run_id", "x").alias("inside"))
+
+
+@query("""
+    WITH t AS (SELECT conv_id, turn, left(coalesce(text, ''), 200) AS x FROM conversations), u AS (SELECT *, sum(length(x)) OVER (PARTITION BY conv_id ORDER BY turn) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM t)
+    SELECT conv_id, turn, length(x) AS n_chars, length(x) >= 200 AS truncated FROM u WHERE used <= 500 OR k = 1""")
+def blocks_within_budget(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return blocks.within_budget(rows, "conv_id", "turn", "text", 200, 500).select("conv_id", "turn", F.char_length("text").alias("n_chars"), "truncated")
+
+
+@query("SELECT count(DISTINCT event_type || '|' || (event_id % 3) || '|' || props) AS keys, count(*) AS events FROM events")
+def cache_keys(spark, sf_dir):
+    """Equal requests have equal keys, and others have others."""
+    key = ledger.cache_key(F.col("event_type"), F.lit("chat"), (F.col("event_id") % 3).cast("string"), F.col("props"))
+    return read(spark, sf_dir, "events").agg(F.count_distinct(key).alias("keys"), F.count("*").alias("events"))
+
+
+@query(r"SELECT p_partkey, 'product::' || trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS key FROM part")
+def node_keys(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", graph.node_key(F.lit(" Product"), F.concat_ws(" ", "p_name", "p_brand")).alias("key"))
+
+
+@query(f"WITH {CLAIM_SQL}, d AS (SELECT key, count(*) AS degree FROM (SELECT s AS key FROM c UNION ALL SELECT o FROM c) GROUP BY 1) SELECT key FROM d ORDER BY degree DESC, key DESC LIMIT 8")
+def fallback_starts(spark, sf_dir):
+    """The nodes with most edges, where no start matches: a top-k."""
+    edges = graph.projection(kg_claims(spark, sf_dir))
+    return reasoning.fallback_starts(edges, 8)
 
 
 # ---------------------------------------------------------------- ledger and evaluation

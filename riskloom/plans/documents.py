@@ -489,7 +489,7 @@ def retrieval_rounds(spark, sf_dir):
     claims = kg_claims(spark, sf_dir).filter("relation = 'located_in'")
     anchors = spark.createDataFrame([("region::1",)], "key string")
     everything = 1 << 40
-    found = retrieval.retrieve(anchors, graph.projection(claims), kg_links(claims), retrieval.Budget(2, 1 << 30, everything, everything, everything), saved)
+    found = retrieval.retrieve(anchors, graph.projection(claims), kg_links(spark, sf_dir, claims), retrieval.Budget(2, 1 << 30, everything, everything, everything), saved)
     parts = found.nodes.select(F.lit("node").alias("kind"), F.col("key").alias("name")).unionByName(found.edges.select(F.lit("edge").alias("kind"), F.col("claim_key").alias("name")))
     links = found.links.select(F.lit("evidence").alias("kind"), F.concat("claim_key", F.lit("#"), "evidence_id").alias("name"))
     return parts.unionByName(links).unionByName(spark.createDataFrame([("status", f"{found.status}: {found.reason}")], "kind string, name string"))
