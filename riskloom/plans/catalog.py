@@ -313,7 +313,7 @@ PARAGRAPH_SQL = r"""
 
 @query(f"WITH {PARAGRAPH_SQL} SELECT doc_id, paragraph_id, start_char, end_char, md5(text) AS text_md5 FROM p")
 def paragraph_spans(spark, sf_dir):
-    out = blocks.paragraph_spans(read(spark, sf_dir, "documents").filter("text IS NOT NULL"), "doc_id", "text")
+    out = blocks.paragraph_spans(read(spark, sf_dir, "documents"), "doc_id", "text")
     return out.withColumn("text_md5", F.md5("text")).drop("text")
 
 
@@ -321,10 +321,16 @@ def paragraph_spans(spark, sf_dir):
     WITH {PARAGRAPH_SQL} SELECT doc_id, CAST(paragraph_id // 4 AS INTEGER) AS chunk, min(paragraph_id) AS start_paragraph, max(paragraph_id) AS end_paragraph,
            min(start_char) AS start_char, max(end_char) AS end_char FROM p GROUP BY ALL""")
 def chunk_ranges(spark, sf_dir):
-    return blocks.chunk_ranges(blocks.paragraph_spans(read(spark, sf_dir, "documents").filter("text IS NOT NULL"), "doc_id", "text"), "doc_id")
+    return blocks.chunk_ranges(blocks.paragraph_spans(read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS x FROM documents),
+    r AS (SELECT doc_id, x, 0::BIGINT AS a, 0::BIGINT AS b FROM t UNION ALL
+          SELECT doc_id, x, b, CASE WHEN e < length(x) AND strpos(reverse(w), chr(10) || chr(10)) > 0 AND b + length(w) - strpos(reverse(w), chr(10) || chr(10)) - 1 > b + 500 THEN b + length(w) - strpos(reverse(w), chr(10) || chr(10)) - 1 ELSE e END
+          FROM (SELECT *, least(length(x), b + 2500) AS e, substr(x, b + 1, least(length(x), b + 2500) - b) AS w FROM r WHERE b < length(x)) q),
+    k AS (SELECT doc_id, a, b, regexp_replace(substr(x, a + 1, b - a), '^\s+|\s+$', '', 'g') AS text FROM r WHERE b > 0)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS chunk, a::INTEGER AS start_char, b::INTEGER AS end_char, text FROM k WHERE text <> ''""")
 def chunk_text_blocks(spark, sf_dir):
     return blocks.chunk_text(read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -785,7 +791,11 @@ def subgraph(spark, sf_dir):
     return kg_nodes(spark, sf_dir).select("key", F.col("name").alias("label"), F.col("entity_type").alias("node_type"), "description"), edges
 
 
-@query()
+@query("""
+    WITH n AS (SELECT 'region::' || r_regionkey AS key, r_name AS name, 'region' AS kind FROM region UNION ALL SELECT 'country::' || n_nationkey, n_name, 'country' FROM nation UNION ALL SELECT 'company::' || s_suppkey, s_name, 'company' FROM supplier UNION ALL SELECT 'product::' || p_partkey, p_name, 'product' FROM part),
+    t AS (SELECT key, trim(regexp_replace(lower(concat_ws(' ', name, kind, kind, name)), '[^a-z0-9]+', ' ', 'g')) AS t FROM n),
+    s AS (SELECT key, CASE WHEN contains(t, 'blue bolt') THEN 0.9 ELSE (contains(t, 'blue')::INTEGER + contains(t, 'bolt')::INTEGER) / 2.0 END AS a, CASE WHEN contains(t, 'region') THEN 0.9 ELSE 0 END AS b FROM t)
+    SELECT key, greatest(a, b)::DOUBLE AS similarity, CASE WHEN a >= b THEN 'blue bolt' ELSE 'region' END AS matched_concept FROM s WHERE greatest(a, b) >= 0.2 ORDER BY 2 DESC, key LIMIT 8""")
 def start_match(spark, sf_dir):
     return reasoning.match_starts(subgraph(spark, sf_dir)[0], ["blue bolt", "region"], PLAN)
 
