@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -92,6 +93,17 @@ def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def released() -> None:
+    """Hand memory that this Python worker no longer uses back to the system; workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}

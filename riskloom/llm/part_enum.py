@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.bytebpe import text_batches
-from riskloom.llm.common import broadcast_if_small, free, stash, unused
+from riskloom.llm.common import broadcast_if_small, free, released, stash, unused
 from riskloom.llm.components import components
 from riskloom.llm.shingles import U, _PLACES, fingerprints, mix, shingle_sets
 
@@ -60,7 +60,7 @@ MEMBERS = 6
 #: Misra-Gries counters of a task, and how many of the most frequent shingles on at least FREQUENT texts are left out.
 COUNTERS, LEFT_OUT, FREQUENT = 1 << 16, 1 << 17, 64
 #: Signatures that a task gathers before it hands them on, and that one bucket gets; sets that a task remembers.
-GATHERED, PER_BUCKET, SEEN = 1_500_000, 1_500_000, 1 << 20
+GATHERED, PER_BUCKET, SEEN = 1_000_000, 1_000_000, 1 << 20
 #: Buckets at least, so that a cluster's executors all have some, and at most.
 BUCKETS = 64, 1 << 16
 #: Pairs that a task lists before it drops repeated ones.
@@ -236,6 +236,7 @@ def survey(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             seen += batch.num_rows
             prints = fingerprints(sets, bounds).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(np.diff(bounds)), pa.array(prints), sketches(sets, bounds)], SURVEY)
+        released()
         often = frequent.counts >= max(2, seen // 1000)
         keys = frequent.keys[often].view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.nulls(len(keys), pa.int64()), pa.array(frequent.counts[often]), pa.array(keys), pa.nulls(len(keys), pa.binary())], SURVEY)
@@ -298,6 +299,7 @@ def gather(docs: DataFrame, id_col: str, text_col: str, size: int, bands: Bands,
             if gathered.count >= GATHERED:
                 yield from gathered.flush()
         yield from gathered.flush()
+        released()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, GATHERED_SCHEMA)
 
@@ -369,6 +371,8 @@ def shared(rows: DataFrame, buckets: int) -> DataFrame:
                 held.append(part)
         if held:
             yield from _met(held)
+        del held
+        released()
 
     return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, members binary")
 
@@ -442,7 +446,7 @@ def across(lists: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: Fra
     def run(batches):
         """The left sets of a pair of blocks are held, by sketch length; the right ones stream past them."""
         held, name = {}, None
-        for batch in (b for b in batches if b.num_rows):
+        for batch in (b.slice(k, 2048) for b in batches for k in range(0, b.num_rows, 2048)):
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], 1)
             label, node, sketch = batch.column(4).to_numpy(), batch.column(5).to_numpy(), batch.column(6).to_pylist()
             before = [frozenset(x) for x in batch.column(7).to_pylist()]
@@ -460,6 +464,8 @@ def across(lists: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: Fra
                     for m in (n, (n - 8) // 2 + 8, (n - 8) * 2 + 8):
                         for own in held.get(m, []):
                             yield from _pairs(own, part, (min(m, n) - 8), threshold)
+        del held
+        released()
 
     found = stash(both.mapInArrow(run, "a long, b long").distinct(), "across")
     free(known)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.bytebpe import text_batches
-from riskloom.llm.common import stash
+from riskloom.llm.common import released, stash
 
 #: Labelled documents that models are fitted on, at most (about; drawn evenly by hash).
 SAMPLE = 20_000
@@ -226,6 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
             if sum(map(len, held.values())) > 400_000:
                 yield from out()
         yield from out()
+        released()
 
     partial = rows.mapInArrow(count, "feature string, fold int, y array<double>, n long")
     cells = [F.sum(F.when(F.col("fold") == f, F.col("n") * (F.col("y")[c - 1] if c else 1)).otherwise(0)).cast("double").alias(f"n{f * (k + 1) + c}") for f in range(FOLDS) for c in range(k + 1)]
@@ -326,6 +327,7 @@ def clean(docs: DataFrame, model: Chain, category: str = "toxic", text_col: str
         for batch in text_batches(batches, column):
             p = model.predict(batch.column(column).to_pylist())
             yield batch.filter(pa.array(p[:, at] < model.cuts[at]))
+        released()
 
     return docs.mapInArrow(run, docs.schema)
 
