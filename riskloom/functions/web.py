@@ -131,3 +131,17 @@ def html_metadata(html: Column) -> dict[str, Column]:
     title = F.trim(F.regexp_replace(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1), "\\s+", " "))
     out["title"] = F.coalesce(out["title"], F.nullif(title, F.lit("")))
     return out
+
+
+def plain_text(html: Column) -> Column:
+    """A page's text by patterns alone: scripts, styles, heads and comments go, block ends become line ends, tags go.
+
+    For pages whose layout does not matter; what is article and what is not, it doesn't tell.
+    """
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style|noscript|head|template)\b[^>]*>.*?</\1\s*>", " ")
+    text = F.regexp_replace(text, r"(?i)<(?:br|/p|/div|/li|/tr|/h[1-6]|/section|/article|/ul|/ol|/table)\b[^>]*>", "\n")
+    text = F.regexp_replace(text, r"<[^>]*>", "")
+    for name, mark in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(mark))
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+", " "), r" ?\n ?", "\n")
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")

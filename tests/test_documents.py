@@ -187,3 +187,30 @@ def test_upserts_hold_distinct_evidence(spark):
     rows = spark.createDataFrame([("k", 0.2, " ", 2, "b"), ("k", 0.9, "d", 3, "a"), ("k", 0.1, "e", 1, "a")], "edge_key string, grounding_score double, description string, seq int, evidence_id string")
     r = graph.upsert_edges(rows).first()
     assert (r.grounding_score, r.description, r.evidence_ids, r.versions) == (0.9, "e", ["a", "b"], 3)
+
+
+def test_artifacts_are_swapped_and_read_back(spark, tmp_path):
+    from riskloom.sources import artifacts
+
+    rows = spark.createDataFrame([(0, "b0", "table", "d", "x"), (1, "b1", "text", "d", "y")], "place int, block_id string, block_type string, document_id string, text string")
+    path = str(tmp_path / "registry")
+    artifacts.replace(artifacts.document_records(rows.limit(1), "place"), path)
+    artifacts.replace(artifacts.document_records(rows, "place"), path)
+    back = artifacts.blocks_of(spark.read.json(path))
+    assert [(r.place, r.block_id, r.text) for r in back.orderBy("place").collect()] == [(0, "b0", "x"), (1, "b1", "y")]
+    assert [p.name for p in tmp_path.iterdir()] == ["registry"]
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.json").write_text(json.dumps({"blocks": [{"block_id": "k", "block_type": "table"}]}, indent=1))
+    (tmp_path / "docs" / "b.json").write_text("no json")
+    docs = artifacts.read_documents(spark, str(tmp_path / "docs"))
+    assert docs.filter("record IS NULL").count() == 1
+    assert [r.block_id for r in artifacts.of_kind(artifacts.blocks_of(docs), "table").collect()] == ["k"]
+
+
+def test_overall_risk_prefers_what_is_given(spark):
+    from riskloom.operators import report
+
+    rows = [("very high", "", None, None), ("Low", "price volatility ahead", None, None), (None, "low risk", 90.0, None), (None, "", 75.0, None), (None, "", None, "not_run"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "e string, s string, m double, t string")
+    got = [r[0] for r in df.select(report.overall_risk(F.col("e"), F.col("s"), F.lit(""), F.col("m"), F.col("t"))).collect()]
+    assert got == ["Very High", "High", "Low", "High", "Not Run", "Moderate"]
