@@ -6,8 +6,10 @@ fits or holds a single row. Bytes are summed once over cells of `step` bits (a b
 only cells that are still too large are summed again with more bits.
 
 Defined results: a null text counts no bytes; rows with the same hash (the same id) can't be
-told apart by bits and, beyond the limit, go to numbered overflow pages of the same bucket; a
-single row above the limit has a shard of its own; an empty table gives no rows.
+told apart by bits and, beyond the limit, go to overflow pages of the same bucket, each of which fits
+the limit; they are numbered within blocks of BLOCK rows, so that no task orders all rows of one id. A
+single row above the limit has a shard of its own; an empty table gives no rows. Only the id and
+the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -43,6 +45,18 @@ def _depths(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     return leaf.select("cell", (F.coalesce("deepest", F.lit(low - 1)) + 1).alias("depth"), (F.coalesce("deepest", F.lit(-1)) == high).alias("open"))
 
 
+#: Rows of one hash that are put on pages together.
+BLOCK = 1 << 16
+
+
+def _pages(limit: int) -> Column:
+    """A page for each row of an overflowing hash: rows above half the limit have one each, of others each half limit of bytes begins one."""
+    block, small = F.floor(F.col("row") / BLOCK), F.col("bytes") * 2 <= limit
+    before = F.sum("bytes").over(Window.partitionBy("h", block, small).orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
+    number = F.floor(F.coalesce(before, F.lit(0)) * 2 / limit)
+    return F.when(small, F.concat_ws("-", block, number)).otherwise(F.concat(F.lit("r"), F.col("row")))
+
+
 def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", step: int | None = None) -> DataFrame:
     """One row per input row: id_col, shard_id (its bits, with .page for overflow pages), local_depth, n_bytes.
 
@@ -57,14 +71,12 @@ def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
     while True:
         depths = stash(_depths(rest, low, high, limit), "directory")
         placed = rest.withColumn("cell", _prefix(F.col("h"), high)).join(depths, "cell")
-        found.append(placed.filter(~F.col("open")).select("id", "bytes", "h", "depth", F.lit(None).cast("long").alias("page")))
+        found.append(placed.filter(~F.col("open")).select("id", "bytes", "h", "depth", F.lit(None).cast("string").alias("page")))
         rest = placed.filter("open").select("id", "bytes", "h", "row")
         if depths.filter("open").isEmpty():
             break
         if high == 64:
-            same = Window.partitionBy("h").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-            before = F.coalesce(F.sum("bytes").over(same), F.lit(0))
-            found.append(rest.select("id", "bytes", "h", F.lit(64).alias("depth"), F.floor(before / limit).alias("page")))
+            found.append(rest.select("id", "bytes", "h", F.lit(64).alias("depth"), _pages(limit).alias("page")))
             break
         low, high = high + 1, min(64, high + step)
     out = found[0]
@@ -73,7 +85,7 @@ def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
     bits = F.expr("substring(lpad(bin(h), 64, '0'), 1, depth)")
     return out.select(
         F.col("id").alias(id_col),
-        F.concat(F.lit("s"), bits, F.coalesce(F.concat(F.lit("."), F.col("page").cast("string")), F.lit(""))).alias("shard_id"),
+        F.concat(F.lit("s"), bits, F.coalesce(F.concat(F.lit("."), F.col("page")), F.lit(""))).alias("shard_id"),
         F.col("depth").cast("int").alias("local_depth"),
         F.col("bytes").alias("n_bytes"),
     )

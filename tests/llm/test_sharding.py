@@ -29,15 +29,20 @@ def test_against_brute_force(spark, documents):
         assert got == brute(rows, limit)
 
 
-def test_equal_hashes_go_to_overflow_pages(spark, documents):
-    rows = [(7, "x" * 40)] * 10
+def test_equal_hashes_go_to_overflow_pages(spark, documents, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 4)
+    rows = [(7, "x" * n) for n in (40, 90, 40, 60, 50, 1, 0, 90, 300)] * 3 + [(None, "y" * 30)] * 9
     got = S.shards(documents(rows), 100, step=16).collect()
-    assert len(got) == 10
-    assert all(r.local_depth == 64 for r in got)
+    assert len(got) == len(rows) and all(r.local_depth == 64 for r in got)
     pages = {}
     for r in got:
-        pages[r.shard_id] = pages.get(r.shard_id, 0) + r.n_bytes
-    assert len(pages) > 2 and max(pages.values()) <= 140
+        pages.setdefault(r.shard_id, []).append(r.n_bytes)
+    assert len(pages) > 12 and all(sum(p) <= 100 or len(p) == 1 for p in pages.values())
+
+
+def test_no_python_in_the_plan(spark, documents):
+    plan = S.shards(documents([(1, "a")]), 10)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_empty(spark, documents):
