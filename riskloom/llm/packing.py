@@ -28,7 +28,9 @@ WINDOW = 2048
 #: Length classes in a window, and the most pieces in an enumerated combination.
 CLASSES, DEPTH = 64, 3
 #: A group is packed when it holds so many ids: bounds a task's memory.
-GROUP_IDS = 8_000_000
+GROUP_IDS = 2_000_000
+#: Bytes of text that are encoded at a time.
+BATCH = 3_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
@@ -181,11 +183,11 @@ class _Packer:
                     offset += length
                 self.next += 1
         doc, start, length, total, sequence, offset, ids = zip(*rows, strict=True) if rows else [[]] * 7
+        self.clear()  # the pieces hold their ids
         ends = np.concatenate([[0], np.cumsum(np.array(length, np.int64))])
         tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
         columns = [pa.array(c, pa.int64()) for c in (doc, start, length, [zlib.crc32(x) for x in ids], total, sequence, offset)]
         out = pa.RecordBatch.from_arrays([*columns, tokens], [c.split()[0] for c in SCHEMA.split(", ")])
-        self.clear()
         return out
 
 
@@ -197,13 +199,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id
         from pyspark import TaskContext
 
         from riskloom.llm.bytebpe import load, text_batches
+        from riskloom.llm.common import released
 
         bpe, packer = load(tokenizer), _Packer(TaskContext.get().partitionId(), window)
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, limit=BATCH):
             for i, ids in zip(batch.column(0).to_pylist(), bpe.encode_batch(batch.column(1)), strict=True):
                 packer.add(i, ids.tobytes() + end)
             if packer.held >= GROUP_IDS:
                 yield packer.flush()
         yield packer.flush()
+        released()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)

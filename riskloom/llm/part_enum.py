@@ -549,6 +549,7 @@ def pick_sets(docs: DataFrame, id_col: str, text_col: str, size: int, table: np.
                 seen.clear()
             members = [sets[bounds[i] : bounds[i + 1]].tobytes() for i in fresh]
             yield pa.RecordBatch.from_arrays([pa.array(prints[fresh]), pa.array(members, pa.binary())], ["node", "members"])
+        released()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "node long, members binary")
 
@@ -573,6 +574,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
                         left.append(a)
                         right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        released()
 
     links = stash(rows.mapInArrow(run, "a long, b long").distinct(), "links")
     free(dealt)
