@@ -18,24 +18,36 @@ from riskloom.llm.common import stash, table
 from riskloom.llm.queries import vocabulary
 
 
+#: Rows that Spark hands to a Python worker at once. Texts may be long, and each batch is held on both sides.
+ARROW_ROWS = 1_000
+
+
+def bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not reject."""
+    bounded(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
     return toxicity.clean(docs, model)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal normalised texts, the longest, then the one with the smallest id."""
+    bounded(spark)
     return exact_dedup.deduplicated(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that share three quarters of their word shingles, the one with the smallest id."""
+    bounded(spark)
     return part_enum.deduplicated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
+    bounded(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
