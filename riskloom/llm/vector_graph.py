@@ -9,6 +9,9 @@ verified by their cosine in double precision. Within a shard each pair of blocks
 and a pair of vectors counts in the first shard that they share, so counts add up without a list
 of all pairs; components get the links of a spanning forest of each task.
 
+Links of a block are verified in pieces of bounded bytes, whatever number of near copies lies in it;
+beside a piece a task holds numbers for each vector, and one bit for each pair within the block.
+
 Recall, of queries and of links, is audited against brute force on a bounded set of queries, in blocks, after every attempt; below the target the operator starts again with more shards for each
 vector, and after the last such attempt it compares all pairs of vectors, block by block.
 
@@ -21,13 +24,14 @@ id are vectors of their own for the counts; an empty table gives no rows.
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import spread, stash
+from riskloom.llm.common import free, released, spread, stash
 from riskloom.llm.components import components
 
 #: Vectors that centroids are fitted on, at most; vectors for each centroid; centroids at most.
@@ -36,6 +40,8 @@ SAMPLE, PER_CENTROID, CENTROIDS = 20_000, 1_500, 2_048
 BLOCK, DEGREE, ALPHA, CANDIDATES, BEAM = 8_192, 24, 1.2, 64, 24
 #: Medoids that searches start from; vectors that a round of a search expands; far links of each list.
 ENTRIES, STEP, FAR = 64, 8, 6
+#: Queries of a block at once (a multiple of 8), and bytes of vectors that are verified at once.
+AT_ONCE, PIECE = 64, 8 << 20
 #: Audited queries at most, and the recall that is asked for.
 AUDITED, RECALL = 2_048, 0.99
 #: From so many shards for each vector on, the next attempt is the exact one.
@@ -90,8 +96,8 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, cand
     rng = np.random.default_rng(SEED)
     if k < 1:
         return out
-    for i in range(0, n, 256):
-        rows = np.arange(i, min(n, i + 256))
+    for i in range(0, n, AT_ONCE):
+        rows = np.arange(i, min(n, i + AT_ONCE))
         sims = x[rows] @ x.T
         sims[np.arange(len(rows)), rows] = -2
         near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
@@ -113,17 +119,15 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, cand
     return out
 
 
-def search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, own: np.ndarray, low: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) pairs with cosine >= low that the search finds. own: a query's place in x, or -1.
+def search(x: np.ndarray, lists: np.ndarray, starts: np.ndarray, queries: np.ndarray, own: np.ndarray, low: float, beam: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, vector) pairs with cosine >= low that the search finds, by AT_ONCE queries. own: a query's place in x, or -1.
 
-    Starts from the medoids of ENTRIES small clusters of the block, and from the query itself if it
+    Starts from `starts`, the medoids of ENTRIES small clusters of the block, and from the query itself if it
     is in the graph; each round expands the STEP best of a query that lie in range or in its beam.
     """
-    starts = medoids(x)
     width = min(beam, len(x)) - 1
-    found_q, found_v = [], []
-    for i in range(0, len(queries), 256):
-        q, me = queries[i : i + 256], own[i : i + 256]
+    for i in range(0, len(queries), AT_ONCE):
+        q, me = queries[i : i + AT_ONCE], own[i : i + AT_ONCE]
         at = np.arange(len(q))
         sims = np.full((len(q), len(x)), -2.0)  # of what has been seen
         todo = np.full((len(q), len(x)), -2.0)  # the same, without what has been expanded
@@ -157,20 +161,29 @@ def search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, own: np.ndarra
             live = live[go.any(axis=1)]
         sims[at[has], me[has]] = -2
         a, b = np.nonzero(sims >= low)
-        found_q.append(a + i)
-        found_v.append(b)
-    return np.concatenate([np.zeros(0, np.int64), *found_q]), np.concatenate([np.zeros(0, np.int64), *found_v])
+        yield a + i, b
 
 
-def compare(x: np.ndarray, queries: np.ndarray, own: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
+def compare(x: np.ndarray, queries: np.ndarray, own: np.ndarray, low: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All (query, vector) pairs that may have cosine >= low, as search gives them."""
-    found_q, found_v = [], []
-    for i in range(0, len(queries), 256):
-        a, b = np.nonzero(queries[i : i + 256] @ x.T >= low - 1e-9)
-        other = own[i : i + 256][a] != b
-        found_q.append(a[other] + i)
-        found_v.append(b[other])
-    return np.concatenate([np.zeros(0, np.int64), *found_q]), np.concatenate([np.zeros(0, np.int64), *found_v])
+    for i in range(0, len(queries), AT_ONCE):
+        a, b = np.nonzero(queries[i : i + AT_ONCE] @ x.T >= low - 1e-9)
+        other = own[i : i + AT_ONCE][a] != b
+        yield a[other] + i, b[other]
+
+
+def once(found: Iterable[tuple[np.ndarray, np.ndarray]], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each pair a < b of n vectors once, whichever side found it. found: the pairs of AT_ONCE queries after the other."""
+    bits = np.zeros((n, -(-n // 8)), np.uint8)
+    for i, (a, b) in zip(range(0, n, AT_ONCE), found, strict=True):
+        hit = np.zeros((min(AT_ONCE, n - i), n), bool)
+        hit[a - i, b] = True
+        bits[i : i + len(hit)] = np.packbits(hit, axis=1)
+    for i in range(0, n, AT_ONCE):
+        hit = np.unpackbits(bits[i : i + AT_ONCE], axis=1, count=n)
+        hit |= np.unpackbits(bits[:, i // 8 : (i + AT_ONCE) // 8], axis=1)[:, : len(hit)].T
+        a, b = np.nonzero(np.triu(hit, i + 1))
+        yield a + i, b
 
 
 def medoids(x: np.ndarray) -> np.ndarray:
@@ -184,41 +197,51 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b)
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Which links (of numbers below n) join two trees when they are added in order."""
-    root = list(range(n))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    keep = np.zeros(len(a), bool)
-    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        i, j = find(i), find(j)
-        if i != j:
-            root[max(i, j)] = min(i, j)
-            keep[k] = True
-    return keep
-
-
-def groups(batches):
-    """(shard, block, rows) of consecutive rows with the same first two columns; long groups come in pieces."""
+class Forest:
+    """Which links of n vectors join two trees, when they are added piece by piece."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The places of the links that join two trees."""
+        p, q = self.root[a], self.root[b]
+        _, at = np.unique(np.minimum(p, q) * len(self.root) + np.maximum(p, q), return_index=True)
+        at = at[p[at] != q[at]]
+        up: dict[int, int] = {}
+
+        def find(i):
+            while i in up:
+                i = up[i]
+            return i
+
+        keep = []
+        for k, i, j in zip(at.tolist(), p[at].tolist(), q[at].tolist(), strict=True):
+            i, j = find(i), find(j)
+            if i != j:
+                up[max(i, j)] = min(i, j)
+                keep.append(k)
+        if keep:
+            now = np.arange(len(self.root))
+            for i in sorted(up):  # what a root is hung on is smaller
+                now[i] = now[up[i]]
+            self.root = now[self.root]
+        return np.array(keep, np.int64)
+
+
+def groups(batches, keys: int = 2):
+    """(key, rows) of consecutive rows with the same first columns; the third says by 1 that rows may come in pieces of BLOCK."""
     held, key = [], None
     for batch in batches:
         for k in range(0, batch.num_rows, 1024):
             for row in zip(*(c.to_pylist() for c in batch.slice(k, 1024).columns), strict=True):
-                if row[:2] != key:
+                if row[:keys] != key or key[2:] == (1,) and len(held) >= BLOCK:
                     if held:
-                        yield (*key, held, True)
-                    held, key = [], row[:2]
-                elif len(held) >= 4 * BLOCK:
-                    yield (*key, held, False)
-                    held = []
-                held.append(row[2:])
+                        yield key, held
+                    held, key = [], row[:keys]
+                held.append(row[keys:])
     if held:
-        yield (*key, held, True)
+        yield key, held
 
 
 class Index:
@@ -237,15 +260,15 @@ class Index:
         near = min(shards, k)
 
         def assign(batches):
-            for batch in batches:
+            for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
                 x = unit(batch.column(1).to_pylist()) @ sent.value.T
                 best = np.argsort(-x, axis=1, kind="stable")[:, :near]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.sort(best, axis=1).astype(np.int32).tolist(), pa.list_(pa.int32()))], ["id", "vec", "weight", "shards"])
 
         self.points = stash(reps.select("id", "vec", "weight").mapInArrow(assign, "id long, vec binary, weight long, shards array<int>"), "points")
         sizes = {r.shard: r.n for r in self.points.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.count("*").alias("n")).toLocalIterator()}
-        blocks = F.create_map(*(F.lit(v) for s, n in sorted(sizes.items()) for v in (s, -(-n // BLOCK))))
-        placed = self.points.withColumn("shard", F.explode("shards")).withColumn("blocks", blocks[F.col("shard")])
+        blocks = F.array(*(F.lit(-(-sizes.get(s, 1) // BLOCK)) for s in range(k)))
+        placed = self.points.withColumn("shard", F.explode("shards")).withColumn("blocks", F.get(blocks, F.col("shard")))
         self.placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
         self.tasks = max(spread(spark), sum(-(-n // BLOCK) for n in sizes.values()))
         self.low, self.exact, self.widest = low, exact, near == k
@@ -254,11 +277,12 @@ class Index:
         """id, near (ids): the united adjacency lists."""
 
         def run(batches):
-            for _, _, rows, _ in groups(batches):
+            for _, rows in groups(batches):
                 ids = np.array([r[0] for r in rows], np.int64)
                 out = robust_prune(unit([r[1] for r in rows]))
                 near = [ids[o[o >= 0]].tolist() for o in out]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near, pa.list_(pa.int64()))], ["id", "near"])
+                released()
 
         rows = self.placed.select("shard", "block", "id", "vec").repartition(self.tasks, "shard", "block").sortWithinPartitions("shard", "block", "id")
         rows = rows.mapInArrow(run, "id long, near array<long>")
@@ -269,32 +293,35 @@ class Index:
         low, exact = self.low, self.exact
 
         def run(batches):
-            x = names = weights = shards = lists = None
-            key = None
-            for shard, block, rows, _ in groups(batches):
-                if key != (shard, block):
-                    key, x = (shard, block), None
-                own = [r for r in rows if r[0] == 0]
-                if own:
-                    names = np.array([r[1] for r in own], np.int64)
-                    x, weights, shards = unit([r[2] for r in own]), np.array([r[3] for r in own], np.int64), [r[4] for r in own]
-                    lists = None if exact else local_lists(names, [r[5] for r in own])
-                    me = np.arange(len(x))
-                    pairs = compare(x, x, me, low) if exact else search(x, lists, x, me, low)
-                    yield report(x, names, weights, shards, x, names, weights, shards, *pairs, shard, low, True)
-                others = [r for r in rows if r[0] == 1]
-                if others and x is not None:
-                    q, qn = unit([r[2] for r in others]), np.array([r[1] for r in others], np.int64)
-                    me = np.full(len(q), -1)
-                    pairs = compare(x, q, me, low) if exact else search(x, lists, q, me, low)
-                    yield report(x, names, weights, shards, q, qn, np.array([r[3] for r in others], np.int64), [r[4] for r in others], *pairs, shard, low, False)
-
-        placed = self.placed.withColumn("near", F.lit(None).cast("array<long>")) if exact else self.placed.join(self.lists(), "id", "left")
+            x = starts = names = weights = shards = lists = None
+            at = None
+            for (shard, block, role), rows in groups(batches, 3):
+                if at != (shard, block):
+                    at, x = (shard, block), None
+                if role == 0:
+                    names, weights = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+                    x, shards = unit([r[1] for r in rows]), np.array([r[3] for r in rows], np.int64)
+                    lists, starts = (None, None) if exact else (local_lists(names, [r[4] for r in rows]), medoids(x))
+                    rows, me = None, np.arange(len(x))
+                    pairs = compare(x, x, me, low) if exact else search(x, lists, starts, x, me, low)
+                    yield report(x, names, weights, shards, x, names, weights, shards, once(pairs, len(x)), shard, low, True)
+                elif x is not None:
+                    q, qn = unit([r[1] for r in rows]), np.array([r[0] for r in rows], np.int64)
+                    qw, qs = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+                    rows, me = None, np.full(len(q), -1)
+                    pairs = compare(x, q, me, low) if exact else search(x, lists, starts, q, me, low)
+                    yield report(x, names, weights, shards, q, qn, qw, qs, pairs, shard, low, False)
+                released()
+
+        lists = None if exact else self.lists()
+        placed = self.placed.withColumn("near", F.lit(None).cast("array<long>")) if exact else self.placed.join(lists, "id", "left")
         inside = placed.select("shard", "block", F.lit(0).alias("role"), "id", "vec", "weight", "shards", "near")
         across = placed.filter("block > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("block") - 1)))
         across = across.select("shard", "block", F.lit(1).alias("role"), "id", "vec", "weight", "shards", F.lit(None).cast("array<long>").alias("near"))
         rows = inside.unionByName(across).repartition(self.tasks, "shard", "block").sortWithinPartitions("shard", "block", "role", "id")
-        return stash(rows.mapInArrow(run, "id long, n_links long, other long"), "found")
+        out = stash(rows.mapInArrow(run, "id long, n_links long, other long"), "found")
+        free(self.points, *([] if exact else [lists]))
+        return out
 
 
 def local_lists(names: np.ndarray, near: list) -> np.ndarray:
@@ -310,19 +337,26 @@ def local_lists(names: np.ndarray, near: list) -> np.ndarray:
     return out
 
 
-def report(x, names, weights, shards, q, q_names, q_weights, q_shards, at_q, at_x, shard, low, same) -> pa.RecordBatch:
-    """Verified links of one task: counts for both sides, and a spanning forest."""
-    if same:  # a link counts once, whichever side found it
-        pairs = np.unique(np.stack([np.minimum(at_q, at_x), np.maximum(at_q, at_x)], 1), axis=0).astype(np.int64)
-        at_q, at_x = pairs[:, 0], pairs[:, 1]
-    ok = exact_cosine(q[at_q], x[at_x]) >= low
-    at_q, at_x = at_q[ok], at_x[ok]
-    joined = forest(at_q, at_x + (0 if same else len(q)), len(x) if same else len(q) + len(x))
-    links = q_names[at_q[joined]], names[at_x[joined]]
-    mine = np.array([min(set(q_shards[a]) & set(shards[b])) == shard for a, b in zip(at_q, at_x, strict=True)], bool) if len(shards[0]) > 1 else np.ones(len(at_q), bool)
-    at_q, at_x = at_q[mine], at_x[mine]
-    n_q = np.bincount(at_q, weights[at_x], len(q)).astype(np.int64)
-    n_x = np.bincount(at_x, q_weights[at_q], len(x)).astype(np.int64)
+def report(x, names, weights, shards, q, q_names, q_weights, q_shards, pairs, shard, low, same) -> pa.RecordBatch:
+    """Verified links of one task: counts for both sides, and a spanning forest. pairs: places in q and in x, piece by piece."""
+    trees = Forest(len(x) if same else len(q) + len(x))
+    n_q, n_x = np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)
+    step = max(1, PIECE // (8 * x.shape[1]))
+    links = [], []
+    for at_q, at_x in ((a[k : k + step], b[k : k + step]) for a, b in pairs for k in range(0, len(a), step)):
+        ok = exact_cosine(q[at_q], x[at_x]) >= low
+        at_q, at_x = at_q[ok], at_x[ok]
+        joined = trees.add(at_q, at_x + (0 if same else len(q)))
+        links[0].append(q_names[at_q[joined]])
+        links[1].append(names[at_x[joined]])
+        if shards.shape[1] > 1:
+            theirs = q_shards[at_q]
+            both = (theirs[:, :, None] == shards[at_x][:, None, :]).any(axis=2)
+            mine = np.where(both, theirs, np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == shard
+            at_q, at_x = at_q[mine], at_x[mine]
+        n_q += np.bincount(at_q, weights[at_x], len(q)).astype(np.int64)
+        n_x += np.bincount(at_x, q_weights[at_q], len(x)).astype(np.int64)
+    links = [np.concatenate([np.zeros(0, np.int64), *side]) for side in links]
     ids = np.concatenate([q_names[n_q > 0], names[n_x > 0], links[0]])
     counts = np.concatenate([n_q[n_q > 0], n_x[n_x > 0], np.zeros(len(links[0]), np.int64)])
     other = pa.concat_arrays([pa.nulls(len(ids) - len(links[0]), pa.int64()), pa.array(links[1])])
@@ -342,11 +376,12 @@ def audit(reps: DataFrame, counts: DataFrame, low: float) -> float:
         names, q = sent.value
         total = np.zeros(len(q), np.int64)
         for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
                 ids, w = part.column(0).to_numpy(), part.column(2).to_numpy()
-                hit = (q @ unit(part.column(1).to_pylist()).T >= low) & (names[:, None] != ids[None, :])
-                total += hit @ w
+                a, b = np.nonzero(q @ unit(part.column(1).to_pylist()).T >= low)
+                a, b = (side[names[a] != ids[b]] for side in (a, b))
+                total += np.bincount(a, w[b], len(q)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["id", "n"])
 
     true = reps.select("id", "vec", "weight").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))

@@ -97,6 +97,38 @@ def test_pruned_lists_hold_the_nearest_first():
     assert (lists[:, 0] == sims.argmax(axis=1)).all()
 
 
+def test_dense_blocks_are_verified_in_pieces(monkeypatch):
+    """1,500 near copies: over a million links, of which few vectors are held at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=64) + 0.01 * rng.normal(size=(1500, 64))
+    x = np.concatenate([x, rng.normal(size=(500, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names, weights, shards = np.arange(2000), np.ones(2000, np.int64), np.zeros((2000, 1), np.int64)
+    monkeypatch.setattr(V, "PIECE", 1 << 20)
+    tracemalloc.start()
+    try:
+        out = V.report(x, names, weights, shards, x, names, weights, shards, V.once(V.compare(x, x, names, 0.9), 2000), 0, 0.9, True)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak < 16 << 20  # the vectors of all links at once would take 1,150 MB
+    got = out.to_pandas().groupby("id").n_links.sum()
+    assert len(got) == 1500 and (got == 1499).all()
+    assert len(out.column(2).drop_null()) == 1499
+
+
+def test_pairs_count_once():
+    """Pairs that one side found, or both; more vectors than are queried at once."""
+    rng = np.random.default_rng(15)
+    hit = rng.random((203, 203)) < 0.02
+    np.fill_diagonal(hit, False)
+    found = [(np.nonzero(hit[i : i + V.AT_ONCE])[0] + i, np.nonzero(hit[i : i + V.AT_ONCE])[1]) for i in range(0, 203, V.AT_ONCE)]
+    got = [(int(a), int(b)) for p, q in V.once(found, 203) for a, b in zip(p, q, strict=True)]
+    assert sorted(got) == sorted({(min(a, b), max(a, b)) for a, b in zip(*np.nonzero(hit), strict=True)})
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2300)]
