@@ -1,7 +1,8 @@
 """Scored multi-hop search over a local subgraph: start nodes, hop scores, beam and path choice.
 
-The subgraph of one question is bounded by retrieval budgets. Each depth is one join, one score
-and one top-k; the beam itself is a handful of rows.
+Each depth is one pass over the edges, one score and one top-k; the beam itself is a handful of
+rows. Edges are filtered by the ends of the beam before they are turned and meet any node, so an
+edge table that is computed (claims summed from their sources) is computed for those ends only.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import lexical_score, objective_score
-from riskloom.operators.graph import both_ways, degrees
+from riskloom.operators.graph import degrees
+
+#: Up to so many ends of paths are handed to edges and nodes as literals; more are joined.
+LITERALS = 1_000
 
 
 @dataclass(frozen=True)
@@ -85,22 +89,39 @@ def hop_scores(hops: DataFrame, plan: Plan, first: bool) -> DataFrame:
     return out.withColumns({"take": take, "score": F.round("raw", 4)}).drop("raw")
 
 
+def steps_from(edges: DataFrame, ends: list[str], direction: str) -> DataFrame:
+    """from_key, to_key and the edge's columns, each edge once either way or in the direction; from the ends alone if they are few."""
+    if len(ends) <= LITERALS:
+        out, back = F.col("subject_key").isin(ends), F.col("object_key").isin(ends)
+        edges = edges.filter({"forward": out, "backward": back}.get(direction, out | back))
+    ways = [F.struct(F.col(a).alias("from_key"), F.col(b).alias("to_key")) for way, a, b in (("forward", "subject_key", "object_key"), ("backward", "object_key", "subject_key")) if direction in (way, "bidirectional")]
+    return edges.select(F.col("key").alias("edge_key"), "relation", F.col("description").alias("edge_description"), "supported", F.explode(F.array(*ways)).alias("step")).select("*", "step.*").drop("step")
+
+
+def side(nodes: DataFrame, name: str) -> DataFrame:
+    """The nodes as one side of a step."""
+    return nodes.select(F.col("key").alias(f"{name}_key"), F.col("label").alias(f"{name}_label"), F.col("description").alias(f"{name}_description"))
+
+
 def beam_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, plan: Plan) -> DataFrame:
     """path_key, nodes, covered, hops, score: all paths that a beam held at any depth.
 
     nodes: key, label, node_type, description; edges: key, subject_key, object_key, relation,
     description, supported. Ties go to the smaller path. A path's score is the mean of its hops'.
     """
-    steps = both_ways(edges.select(F.col("key").alias("edge_key"), "subject_key", "object_key", "relation", F.col("description").alias("edge_description"), "supported"))
-    if plan.direction != "bidirectional":
-        steps = steps.filter(F.col("direction") == plan.direction)
-    side = lambda name: nodes.select(F.col("key").alias(f"{name}_key"), F.col("label").alias(f"{name}_label"), F.col("description").alias(f"{name}_description"))
-    steps = steps.join(side("from"), "from_key").join(side("to"), "to_key")
+    spark = nodes.sparkSession
+    ends = [r.key for r in starts.select("key").limit(LITERALS + 1).collect()]
+    if len(ends) <= LITERALS:  # computed once
+        starts = spark.createDataFrame([(k,) for k in ends], "key string")
     beam = starts.select(F.array("key").alias("nodes"), F.array().cast("array<string>").alias("covered"), F.lit(0).alias("supported_hops"), F.lit(0.0).alias("score"))
     done = []
     for hop in range(plan.depth):
         now = beam.withColumn("from_key", F.element_at("nodes", -1)).withColumnsRenamed({"score": "so_far", "covered": "before"})
-        rows = now.join(steps, "from_key").filter(~F.array_contains("nodes", F.col("to_key")))
+        steps, near = steps_from(edges, ends, plan.direction), side(nodes, "from")
+        if len(ends) <= LITERALS:
+            now, near = F.broadcast(now), F.broadcast(near.filter(F.col("from_key").isin(ends)))  # one row for each end
+        rows = steps.join(now, "from_key").filter(~F.array_contains("nodes", F.col("to_key")))
+        rows = rows.join(near, "from_key").join(side(nodes, "to"), "to_key")
         rows = hop_scores(rows, plan, hop == 0).filter("take")
         rows = rows.select(
             F.concat("nodes", F.array("to_key")).alias("nodes"),
@@ -112,7 +133,7 @@ def beam_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, plan: Plan
         held = [r.asDict() for r in beam.collect()]  # at most `width` rows
         if not held:
             break
-        spark = nodes.sparkSession
+        ends = list({r["nodes"][-1] for r in held})
         beam = spark.createDataFrame([(r["nodes"], r["covered"], r["supported_hops"], r["score"]) for r in held], "nodes array<string>, covered array<string>, supported_hops int, score double")
         done.append(beam.withColumn("hops", F.lit(hop + 1)))
     if not done:

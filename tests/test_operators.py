@@ -222,6 +222,29 @@ def test_reasoning(spark):
     assert reasoning.assess_gaps([], plan)["gap_type"] == "no_path"
 
 
+def test_beam_asks_edges_for_its_ends_only(spark, monkeypatch):
+    """Claims are summed for the ends of the beam alone, many ends give the same paths, and each direction its own."""
+    nodes = spark.range(60).select(F.concat(F.lit("n"), "id").alias("key"), F.concat(F.lit("mine "), "id").alias("label"), F.lit("facility").alias("node_type"), F.lit("").alias("description"))
+    links = spark.range(59).select(F.concat(F.lit("n"), "id").alias("s"), F.concat(F.lit("n"), F.col("id") + 1).alias("o")).groupBy("s", "o").agg(F.count("*").alias("n"))
+    names = {"key": F.concat("s", F.lit("|"), "o"), "subject_key": F.col("s"), "object_key": F.col("o"), "relation": F.lit("supplies"), "description": F.lit(""), "supported": F.lit(True)}
+    edges = links.select(*(c.alias(n) for n, c in names.items()))
+    starts = spark.createDataFrame([("n30",), ("n7",)], "key string")
+    got = {}
+    for direction in ("bidirectional", "forward", "backward"):
+        plan = reasoning.Plan("mine", {"s": ["mine"]}, direction=direction)
+        few = reasoning.steps_from(edges, ["n30", "n7"], direction)
+        plan_text = few._jdf.queryExecution().optimizedPlan().toString()
+        assert plan_text.index("Aggregate [") < plan_text.index("n30")  # filtered before it is summed
+        rows = lambda: sorted((r.path_key, r.hops, r.score, r.covered) for r in reasoning.beam_paths(nodes, edges, starts, plan).collect())  # noqa: B023, E731
+        got[direction] = rows()
+        with monkeypatch.context() as m:
+            m.setattr(reasoning, "LITERALS", 0)
+            assert rows() == got[direction]
+    assert [p for p, h, *_ in got["forward"] if h == 4] == ["n30 > n31 > n32 > n33 > n34", "n7 > n8 > n9 > n10 > n11"]
+    assert [p for p, h, *_ in got["backward"] if h == 4] == ["n30 > n29 > n28 > n27 > n26", "n7 > n6 > n5 > n4 > n3"]
+    assert len(got["bidirectional"]) == 4 + 4 * 3
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "t.csv").write_text("﻿date,my col,my col,\n2025-01-01,nan,2,x\n,,,\n")
     df = readers.read_csv(spark, str(tmp_path / "t.csv"))
