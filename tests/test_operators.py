@@ -245,6 +245,26 @@ def test_beam_asks_edges_for_its_ends_only(spark, monkeypatch):
     assert len(got["bidirectional"]) == 4 + 4 * 3
 
 
+def test_chosen_paths_ask_no_edges_again(spark):
+    """Edges are read once for each of three hops, and choosing among the paths reads no table."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    nodes = spark.createDataFrame([("a", "cobalt mine", "facility", ""), ("b", "refiner", "company", ""), ("c", "battery plant", "facility", "")], "key string, label string, node_type string, description string")
+    edges = spark.createDataFrame([("e1", "a", "b", "supplies", "", True), ("e2", "b", "c", "supplies", "", True)], "key string, subject_key string, object_key string, relation string, description string, supported boolean")
+    edges = edges.mapInArrow(counted, edges.schema)
+    starts = spark.createDataFrame([("a",)], "key string")
+    plan = reasoning.Plan("cobalt mine to battery plant", {"s": ["cobalt mine"]}, {"b": ["refiner"]}, {"t": ["battery plant"]})
+    assert reasoning.select_paths(reasoning.beam_paths(nodes, edges, starts, plan), plan)[0]["nodes"] == ["a", "b", "c"]
+    assert read.value == 3 * 2
+    none = starts.filter("key = 'x'")
+    assert reasoning.select_paths(reasoning.beam_paths(nodes, edges, none, plan), plan) == []
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "t.csv").write_text("﻿date,my col,my col,\n2025-01-01,nan,2,x\n,,,\n")
     df = readers.read_csv(spark, str(tmp_path / "t.csv"))
