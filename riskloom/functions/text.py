@@ -32,10 +32,15 @@ def compact(c: Column, most: int, ellipsis: str = "...") -> Column:
     return F.when(F.length(text) <= most, text).otherwise(cut)
 
 
+def word_list(words: list[str]) -> Column:
+    """Words without blanks as an array: two calls and one literal, where a literal for each word takes milliseconds apiece."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
 def tokens(c: Column, stop: list[str], least: int = 3) -> Column:
     """Distinct normalised tokens of at least `least` characters, in order, without stop words."""
     words = F.split(normalize(c), " ")
-    return F.array_except(F.array_distinct(F.filter(words, lambda w: F.length(w) >= least)), F.array(*(F.lit(s) for s in stop)))
+    return F.array_except(F.array_distinct(F.filter(words, lambda w: F.length(w) >= least)), word_list(stop))
 
 
 def focus_terms(question: Column) -> Column:

@@ -5,7 +5,9 @@ Every entry reads whole tables. `QUERIES` maps a name to (function, SQL or None)
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -536,27 +538,58 @@ def confidence(spark, sf_dir):
 # ---------------------------------------------------------------- graph
 
 
+def ids_at(kind: str, keys: list[str]) -> list[int]:
+    """The ids of those keys that are of a kind."""
+    found = (re.fullmatch(rf"{kind}::(-?[0-9]+)", k or "") for k in keys)
+    return [i for i in (int(m[1]) for m in found if m) if -(2**63) <= i < 2**63]
+
+
 def kg_nodes(spark, sf_dir):
     """key, name, entity_type, description of regions, nations, suppliers and parts."""
-    def of(table, kind, ref, name):
-        rows = read(spark, sf_dir, table)
-        return rows.select(F.concat(F.lit(f"{kind}::"), F.col(ref)).alias("key"), F.col(name).alias("name"), F.lit(kind).alias("entity_type"), F.concat_ws(" ", F.lit(kind), F.col(name)).alias("description"))
+    return nodes_near(spark, sf_dir)()
+
+
+def nodes_near(spark, sf_dir) -> Callable[..., DataFrame]:
+    """A function of keys: the nodes that have one of them, filtered by the sources' own ids; all without keys."""
+    sources = [("region", "region", "r_regionkey", "r_name"), ("nation", "country", "n_nationkey", "n_name"), ("supplier", "company", "s_suppkey", "s_name"), ("part", "product", "p_partkey", "p_name")]
+    tables = {table: read(spark, sf_dir, table) for table, *_ in sources}
+
+    def near(keys: list[str] | None = None) -> DataFrame:
+        def of(table, kind, ref, name):
+            rows = tables[table] if keys is None else tables[table].filter(F.col(ref).isin(ids_at(kind, keys)))
+            return rows.select(F.concat(F.lit(f"{kind}::"), F.col(ref)).alias("key"), F.col(name).alias("name"), F.lit(kind).alias("entity_type"), F.concat_ws(" ", F.lit(kind), F.col(name)).alias("description"))
 
-    return of("region", "region", "r_regionkey", "r_name").unionByName(of("nation", "country", "n_nationkey", "n_name")).unionByName(of("supplier", "company", "s_suppkey", "s_name")).unionByName(of("part", "product", "p_partkey", "p_name"))
+        first, *rest = (of(*x) for x in sources)
+        return reduce(DataFrame.unionByName, rest, first)
+
+    return near
 
 
 def kg_claims(spark, sf_dir):
     """claim_key, subject_key, relation, object_key, subject_type, object_type, grounding_score."""
+    return claims_near(spark, sf_dir)()
+
+
+def claims_near(spark, sf_dir) -> Callable[..., DataFrame]:
+    """A function of keys: the claims that have one of them as an end, filtered by the sources' own ids; all without keys."""
     def rows(df, subject_type, subject, relation, object_type, obj, score):
         s, o = F.concat(F.lit(f"{subject_type}::"), F.col(subject)), F.concat(F.lit(f"{object_type}::"), F.col(obj))
         return df.select(graph.claim_key(s, F.lit(relation), o).alias("claim_key"), s.alias("subject_key"), F.lit(relation).alias("relation"), o.alias("object_key"), F.lit(subject_type).alias("subject_type"), F.lit(object_type).alias("object_type"), score.cast("double").alias("grounding_score"))
 
-    supplies = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
-    return (
-        rows(read(spark, sf_dir, "supplier"), "company", "s_suppkey", "located_in", "country", "s_nationkey", F.lit(0.9))
-        .unionByName(rows(read(spark, sf_dir, "nation"), "country", "n_nationkey", "located_in", "region", "n_regionkey", F.lit(0.8)))
-        .unionByName(rows(supplies, "company", "l_suppkey", "produces", "product", "l_partkey", F.round(F.col("q") / 100, 2)))
-    )
+    supplier, nation, lineitem = (read(spark, sf_dir, t) for t in ("supplier", "nation", "lineitem"))
+
+    def near(keys: list[str] | None = None) -> DataFrame:
+        def at(df, subject_type, subject, object_type, obj):
+            return df if keys is None else df.filter(F.col(subject).isin(ids_at(subject_type, keys)) | F.col(obj).isin(ids_at(object_type, keys)))
+
+        supplies = at(lineitem, "company", "l_suppkey", "product", "l_partkey").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
+        return (
+            rows(at(supplier, "company", "s_suppkey", "country", "s_nationkey"), "company", "s_suppkey", "located_in", "country", "s_nationkey", F.lit(0.9))
+            .unionByName(rows(at(nation, "country", "n_nationkey", "region", "n_regionkey"), "country", "n_nationkey", "located_in", "region", "n_regionkey", F.lit(0.8)))
+            .unionByName(rows(supplies, "company", "l_suppkey", "produces", "product", "l_partkey", F.round(F.col("q") / 100, 2)))
+        )
+
+    return near
 
 
 CLAIM_SQL = """
@@ -787,8 +820,17 @@ PLAN = reasoning.Plan(
 
 def subgraph(spark, sf_dir):
     """All nodes and claims; starts and beam bound what a question takes of them."""
-    edges = kg_claims(spark, sf_dir).select(F.col("claim_key").alias("key"), "subject_key", "object_key", "relation", F.lit("").alias("description"), F.lit(True).alias("supported"))
-    return kg_nodes(spark, sf_dir).select("key", F.col("name").alias("label"), F.col("entity_type").alias("node_type"), "description"), edges
+    nodes, edges = searched(spark, sf_dir)
+    return nodes(), edges()
+
+
+def searched(spark, sf_dir):
+    """The nodes and claims of `subgraph`, both as functions of keys."""
+    nodes, claims = nodes_near(spark, sf_dir), claims_near(spark, sf_dir)
+    return (
+        lambda keys=None: nodes(keys).select("key", F.col("name").alias("label"), F.col("entity_type").alias("node_type"), "description"),
+        lambda keys=None: claims(keys).select(F.col("claim_key").alias("key"), "subject_key", "object_key", "relation", F.lit("").alias("description"), F.lit(True).alias("supported")),
+    )
 
 
 @query("""
@@ -802,16 +844,16 @@ def start_match(spark, sf_dir):
 
 @query()
 def beam_paths(spark, sf_dir):
-    nodes, edges = subgraph(spark, sf_dir)
-    starts = reasoning.match_starts(nodes, ["blue bolt"], PLAN).select("key")
+    nodes, edges = searched(spark, sf_dir)
+    starts = reasoning.match_starts(nodes(), ["blue bolt"], PLAN).select("key")
     out = reasoning.beam_paths(nodes, edges, starts, PLAN)
     return out.select("path_key", "hops", F.round("score", 4).alias("score"), F.concat_ws(",", "covered").alias("covered"))
 
 
 @query()
 def path_select(spark, sf_dir):
-    nodes, edges = subgraph(spark, sf_dir)
-    starts = reasoning.match_starts(nodes, ["blue bolt"], PLAN).select("key")
+    nodes, edges = searched(spark, sf_dir)
+    starts = reasoning.match_starts(nodes(), ["blue bolt"], PLAN).select("key")
     kept = reasoning.select_paths(reasoning.beam_paths(nodes, edges, starts, PLAN), PLAN)
     gaps = reasoning.assess_gaps(kept, PLAN)
     rows = [(i, " > ".join(p["nodes"]), p["score"], ",".join(p["covered"]), gaps["status"]) for i, p in enumerate(kept, 1)]

@@ -265,6 +265,38 @@ def test_chosen_paths_ask_no_edges_again(spark):
     assert reasoning.select_paths(reasoning.beam_paths(nodes, edges, none, plan), plan) == []
 
 
+def test_search_asks_sources_for_keys_and_sends_few_steps(spark, monkeypatch):
+    """Nodes and edges may be functions that are asked for the ends alone; many steps and many texts give the same as few."""
+    nodes = spark.range(60).select(F.concat(F.lit("n"), "id").alias("key"), F.expr("elt(id % 7 + 1, 'iron', 'gold', 'lead', 'zinc', 'salt', 'coal', 'tin') || ' mine'").alias("label"), F.lit("facility").alias("node_type"), F.lit("").alias("description"))
+    edges = spark.range(59).select(F.concat(F.lit("e"), "id").alias("key"), F.concat(F.lit("n"), "id").alias("subject_key"), F.concat(F.lit("n"), F.col("id") + 1).alias("object_key"), F.lit("supplies").alias("relation"), F.lit("").alias("description"), F.lit(True).alias("supported"))
+    asked = []
+
+    def near(keys):
+        asked.append(sorted(keys))
+        return edges.filter(F.col("subject_key").isin(keys) | F.col("object_key").isin(keys))
+
+    plan = reasoning.Plan("mine", {"s": ["zinc mine"]}, depth=3, starts=2, direction="forward")
+    starts = reasoning.match_starts(nodes, ["plant", "zinc mine"], plan, pinned=["n59"])
+    want = [("n59", 0.95, "zinc mine"), ("n10", 0.9, "zinc mine")]
+    assert [tuple(r) for r in starts.collect()] == want
+    paths = lambda table, links: sorted((r.path_key, r.hops, r.score, r.covered) for r in reasoning.beam_paths(table, links, starts.select("key"), plan).collect())
+    got = paths(lambda keys: nodes, near)
+    assert asked == [["n10", "n59"], ["n11"], ["n12"]]
+    assert [p for p, h, *_ in got if h == 3] == ["n10 > n11 > n12 > n13"]
+    assert got == paths(nodes, edges)
+    with monkeypatch.context() as m:
+        m.setattr(reasoning, "STEPS", 0)
+        assert got == paths(nodes, near)
+        assert [tuple(r) for r in reasoning.match_starts(nodes, ["plant", "zinc mine"], plan, pinned=["n59"]).collect()] == want
+
+
+def test_starts_score_each_text_once(spark):
+    """5,000 nodes share three texts; scores are computed after the texts are made distinct."""
+    nodes = spark.range(5000).select(F.concat(F.lit("n"), "id").alias("key"), F.concat(F.lit("mine "), F.col("id") % 3).alias("label"), F.lit("facility").alias("node_type"), F.lit("").alias("description"))
+    plan_text = reasoning.match_starts(nodes, ["mine 2"], reasoning.Plan("mine"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan_text  # nodes meet scored texts
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "t.csv").write_text("﻿date,my col,my col,\n2025-01-01,nan,2,x\n,,,\n")
     df = readers.read_csv(spark, str(tmp_path / "t.csv"))

@@ -53,3 +53,19 @@ def test_reasoning_reads_all_nodes_and_claims(spark):
     assert parts.count() == 29
     assert edges.join(parts.selectExpr("key AS object_key"), "object_key", "left_semi").count() == 739
     assert nodes.count() == catalog.kg_nodes(spark, sf_dir).count() and edges.count() == catalog.kg_claims(spark, sf_dir).count()
+
+
+def test_claims_and_nodes_at_keys_are_filtered_by_ids(spark):
+    """At some keys: the same as of all, and the id is compared where the table is read."""
+    from pyspark.sql import functions as F
+
+    from riskloom.plans import catalog
+
+    nodes, edges = catalog.searched(spark, DATA)
+    keys = ["company::3", "country::4", "region::1", "product::7", "product::x", "product::99999999999999999999", None]
+    all_rows = lambda df: sorted(tuple(r) for r in df.collect())
+    ends = F.col("subject_key").isin(keys) | F.col("object_key").isin(keys)
+    assert all_rows(edges(keys)) == all_rows(edges().filter(ends)) != []
+    assert all_rows(nodes(keys)) == all_rows(nodes().filter(F.col("key").isin(keys))) and nodes(keys).count() == 4
+    plan = edges(keys)._jdf.queryExecution().executedPlan().toString()
+    assert "Or(EqualTo(l_suppkey,3),EqualTo(l_partkey,7))" in plan
